@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import language_id, mixing, quality_mil, quality_rules, toxicity
+from tidemark.llm import language_id, mixing, piece_transducer, quality_mil, quality_rules, toxicity
 from tidemark.llm._common import table
 
 
@@ -34,12 +34,17 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predict(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_transducer.encode_all(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op3_quality_rules": op3_quality_rules,
     "op5_quality_classifier": op5_quality_classifier,
     "op7_language_id": op7_language_id,
     "op8_toxicity": op8_toxicity,
+    "op9_sentencepiece": op9_sentencepiece,
 }
 
 ORACLE: dict[str, str] = {}
