@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import language_id, mixing, piece_transducer, quality_mil, quality_rules, suffix_dedup, toxicity
+from tidemark.llm import language_id, mixing, order_minhash, piece_transducer, quality_mil, quality_rules, suffix_dedup, toxicity
 from tidemark.llm._common import table
 
 
@@ -23,6 +23,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.classes(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_mil.predict(docs, quality_mil.fit(docs, table(spark, sf_dir, "labels")))
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_quality_rules": op3_quality_rules,
+    "op4_order_minhash": op4_order_minhash,
     "op5_quality_classifier": op5_quality_classifier,
     "op7_language_id": op7_language_id,
     "op8_toxicity": op8_toxicity,
