@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import language_id, mixing, order_minhash, piece_transducer, quality_mil, quality_rules, suffix_dedup, toxicity
+from tidemark.llm import hnsw, language_id, mixing, order_minhash, piece_transducer, quality_mil, quality_rules, suffix_dedup, toxicity
 from tidemark.llm._common import table
 
 
@@ -46,6 +46,10 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_transducer.encode_all(table(spark, sf_dir, "documents"))
 
 
+def op10_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_language_id": op7_language_id,
     "op8_toxicity": op8_toxicity,
     "op9_sentencepiece": op9_sentencepiece,
+    "op10_hnsw": op10_hnsw,
 }
 
 ORACLE: dict[str, str] = {}
