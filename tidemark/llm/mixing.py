@@ -109,11 +109,25 @@ def plan(totals: list[Source]) -> list[Source]:
 
 
 def mix(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """doc_id, size, source_size, target, taken, shard (of the last copy; null if none) for every row.
+    """doc_id, size, source_size, target, taken, shard, shard_order (both null if not taken), copies for every row.
 
     Extra columns of ``docs`` are not read. ``taken`` is the words the mix takes of the row:
     its size times the number of its copies.
     """
+    return _mixed(docs, shards, seed).select(
+        "doc_id",
+        "size",
+        "source_size",
+        "target",
+        (F.col("size") * F.col("_copies")).cast("long").alias("taken"),
+        F.when(F.col("size") > 0, F.col("_shard")).alias("shard"),
+        F.col("_order").alias("shard_order"),
+        F.col("_copies").cast("int").alias("copies"),
+    )
+
+
+def _mixed(docs: DataFrame, shards: int, seed: int) -> DataFrame:
+    """The rows of ``mix`` with the hash of each row."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.col("source").alias("_source"), F.col("text").alias("_text"))
     rows = cut(rows.select("doc_id", "_source", size_of("_text").alias("size"), _hash(seed).alias("_h")))
@@ -156,9 +170,22 @@ def mix(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     )
     rows = _with_edges(rows, sources, edge, rest, seed)
     rows = rows.withColumn("_copies", F.coalesce("_pass", F.lit(0)) + F.greatest("_part", F.coalesce("_leaf", F.lit(0))))
-    return _with_shards(rows, sources, passes, taken, edge, shards, seed).select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("_copies")).cast("long").alias("taken"), F.when(F.col("size") > 0, F.col("_shard")).alias("shard"), F.col("_order").alias("shard_order"), F.col("_copies").cast("int").alias("copies")
-    )
+    return _with_shards(rows, sources, passes, taken, edge, shards, seed)
+
+
+def take(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+    """``docs`` as the mix takes them, each row as often as it has copies, with shard and shard_order.
+
+    Copies are looked up by the row's hash. Of equal rows one comes back as often as all of them are taken.
+    """
+    names = [c for c in docs.columns if c not in ("shard", "shard_order")]
+    mixed = _mixed(docs, shards, seed).withColumnRenamed("_h", "key")
+    total = mixed.groupBy("key").agg(F.sum("_copies").alias("_sum"), F.count("*").alias("_n"), F.min("_shard").alias("shard"), F.min("_order").alias("shard_order")).where("_sum > 0")
+    keyed = docs.withColumn("_text", F.col("text")).withColumn("key", _hash(seed)).drop("_text").select(*names, "key")
+    single = keyed.join(total, "key")
+    rows = single.where("_n = 1").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_sum").cast("int")))).select(*names, "shard", "shard_order")
+    repeated = single.where("_n > 1").dropDuplicates(["key"]).withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_sum").cast("int")))).select(*names, "shard", "shard_order")
+    return rows.unionByName(repeated)
 
 
 def _with_edges(rows: DataFrame, sources: list[Source], edge: dict[int, list[int]], rest: list[float], seed: int) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import hnsw, language_id, mixing, order_minhash, piece_transducer, quality_mil, quality_rules, suffix_dedup, toxicity
+from tidemark.llm import hnsw, language_id, mixing, order_minhash, piece_transducer, quality_mil, quality_rules, suffix_dedup, tool_calls, toxicity
 from tidemark.llm._common import table
 
 
@@ -32,6 +32,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_mil.predict(docs, quality_mil.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tool_calls.linked(table(spark, sf_dir, "conversations"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language_id.predict(docs, language_id.fit(docs))
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_order_minhash": op4_order_minhash,
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_tool_calls": op6_tool_calls,
     "op7_language_id": op7_language_id,
     "op8_toxicity": op8_toxicity,
     "op9_sentencepiece": op9_sentencepiece,
