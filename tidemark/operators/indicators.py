@@ -5,45 +5,48 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.maths import by, full, ratio, trailing
 
-SPEC = by("ticker")
+
+def spec() -> WindowSpec:
+    """Rows of a ticker in date order (built on use: a window needs a running session)."""
+    return by("ticker")
 
 
 def returns(k: int) -> Column:
-    return ratio(F.col("close"), F.lag("close", k).over(SPEC)) - 1
+    return ratio(F.col("close"), F.lag("close", k).over(spec())) - 1
 
 
 def volatility(rows: int, of: str = "ret_1d") -> Column:
-    return full(F.stddev_samp(of), F.col(of), SPEC, rows)
+    return full(F.stddev_samp(of), F.col(of), spec(), rows)
 
 
 def sma(rows: int, of: str = "close") -> Column:
-    return full(F.avg(of), F.col(of), SPEC, rows)
+    return full(F.avg(of), F.col(of), spec(), rows)
 
 
 def bollinger_z(rows: int = 20) -> Column:
-    spread = full(F.stddev_samp("close"), F.col("close"), SPEC, rows)
+    spread = full(F.stddev_samp("close"), F.col("close"), spec(), rows)
     return ratio(F.col("close") - sma(rows), spread)
 
 
 def true_range() -> Column:
     """Largest of the day's range and its distances to the previous close; the first row has the range only."""
-    prev = F.lag("close").over(SPEC)
+    prev = F.lag("close").over(spec())
     return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - prev), F.abs(F.col("low") - prev))
 
 
 def obv_delta(rows: int = 5) -> Column:
     """Sum of signed volume over the last ``rows`` rows (needs ``signed_volume``); null for the first ``rows`` rows."""
-    return F.when(F.row_number().over(SPEC) > rows, F.sum("signed_volume").over(trailing(SPEC, rows)))
+    return F.when(F.row_number().over(spec()) > rows, F.sum("signed_volume").over(trailing(spec(), rows)))
 
 
 def volume_z(rows: int = 21) -> Column:
-    return ratio(F.col("volume") - sma(rows, "volume"), full(F.stddev_samp("volume"), F.col("volume"), SPEC, rows))
+    return ratio(F.col("volume") - sma(rows, "volume"), full(F.stddev_samp("volume"), F.col("volume"), spec(), rows))
 
 
 def exponential(bars: DataFrame, columns: Mapping[str, tuple[str, float]], keys: tuple[str, ...] = ("ticker",), order: str = "date") -> DataFrame:
@@ -71,7 +74,7 @@ def span(n: int) -> float:
 
 def with_rsi(bars: DataFrame, rows: int = 14) -> DataFrame:
     """rsi_{rows} from Wilder means of gains and losses; null while losses are zero."""
-    change = F.col("close") - F.lag("close").over(SPEC)
+    change = F.col("close") - F.lag("close").over(spec())
     moved = bars.withColumn("_up", F.greatest(change, F.lit(0.0)) + change * 0).withColumn("_down", F.greatest(-change, F.lit(0.0)) + change * 0)
     smooth = exponential(moved, {"_gain": ("_up", 1 / rows), "_loss": ("_down", 1 / rows)})
     strength = ratio(F.col("_gain"), F.col("_loss"))
@@ -86,7 +89,7 @@ def with_macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9)
 
 def indicators(bars: DataFrame) -> DataFrame:
     """All 23 indicators and day_of_week (Monday 0), each null until its window is full."""
-    change = F.col("close") - F.lag("close").over(SPEC)
+    change = F.col("close") - F.lag("close").over(spec())
     base = bars.withColumns({"ret_1d": returns(1), "ret_5d": returns(5), "ret_21d": returns(21), "_tr": true_range(), "signed_volume": F.coalesce(F.signum(change), F.lit(0.0)) * F.col("volume")})
     out = with_macd(with_rsi(base)).withColumns(
         {
@@ -95,7 +98,7 @@ def indicators(bars: DataFrame) -> DataFrame:
             "sma_20": sma(20),
             "sma_50": sma(50),
             "bb_zscore_20": bollinger_z(),
-            "atr_14": full(F.avg("_tr"), F.col("_tr"), SPEC, 14),
+            "atr_14": full(F.avg("_tr"), F.col("_tr"), spec(), 14),
             "volume_zscore_21": volume_z(),
             "obv_delta_5d": obv_delta(),
             "_vol_mean": sma(21, "volume"),

@@ -37,7 +37,7 @@ def in_windows(events: DataFrame, days: int = WINDOW_DAYS, stride: int = CATEGOR
     oldest = F.greatest(F.ceil((back - (days - 1)) / stride), F.lit(0))
     last = F.floor((F.datediff("_hi", "_lo") - (days - 1)) / stride)
     ids = F.when(oldest <= F.least(newest, last), F.sequence(oldest, F.least(newest, last))).otherwise(F.array().cast("array<bigint>"))
-    out = events.join(F.broadcast(span)).withColumn("k", F.explode(ids).cast("int"))
+    out = events.join(F.broadcast(span)).withColumn("k", F.explode(ids)).withColumn("k", F.col("k").cast("int"))
     out = out.withColumn("window_end", F.date_sub("_hi", F.col("k") * stride)).withColumn("window_start", F.date_sub("window_end", days - 1))
     return out.drop("_lo", "_hi")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,9 +99,13 @@ def long_outcomes(spark: SparkSession, sf_dir: str, horizons: Sequence[int] = OU
 
 
 def events(spark: SparkSession, sf_dir: str, horizons: Sequence[int] = OUTCOME_HORIZONS) -> DataFrame:
-    """Events that hit a bar, long over horizons, with sector, pos and outcomes."""
+    """Events that hit a bar, long over horizons, with sector, pos and outcomes.
+
+    Persisted (memory, then disk): summaries and comparisons read it several times, and equal
+    plans share the copy. What is lost with an executor is computed again.
+    """
     table = news.event_table(placed_articles(spark, sf_dir))
     hit = news.with_outcomes(table, long_outcomes(spark, sf_dir, horizons)).where("matched")
-    return news.with_sector(hit, sectors(spark, sf_dir))
+    return news.with_sector(hit, sectors(spark, sf_dir)).persist(StorageLevel.MEMORY_AND_DISK)
 
 

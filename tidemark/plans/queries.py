@@ -678,7 +678,7 @@ def classification_metrics(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def train_logistic(spark: SparkSession, sf: str) -> DataFrame:
     matrix = _matrix(spark, sf).where("exclusion is null").cache()
-    return rounded(learning.train(matrix, "logistic", 5, learning.resolve_features(matrix.columns, "matrix"), folds=2)[1])
+    return rounded(learning.train(matrix, "logistic", 5, ["ret_5d", "vol_21d", "rsi_14", "close_to_sma20", "mean_sentiment"], folds=2)[1])
 
 
 @query()
