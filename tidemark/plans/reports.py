@@ -18,7 +18,8 @@ def percent(x: float | None, digits: int = 2) -> str:
 
 
 def sparkline(values: Iterable[float | None]) -> str:
-    known = [v for v in (values := list(values)) if v is not None and v == v]
+    values = list(values)
+    known = [v for v in values if v is not None and v == v]
     if not known:
         return ""
     low, span = min(known), (max(known) - min(known)) or 1.0
