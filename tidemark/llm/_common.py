@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,3 +69,19 @@ def cut(df: DataFrame) -> DataFrame:
 def bind_batches(spark: SparkSession, rows: int = 500) -> None:
     """Small Arrow batches: a batch of long texts must fit beside the JVM on an executor."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+@contextlib.contextmanager
+def small_plans(spark: SparkSession) -> Iterator[None]:
+    """Runs many small plans without compiling each into classes of its own.
+
+    Iterative operators make hundreds of plans over little data; the compiled code of each would
+    stay in the driver's memory and cost more than it saves.
+    """
+    key = "spark.sql.codegen.wholeStage"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

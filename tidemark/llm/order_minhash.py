@@ -11,9 +11,11 @@ within the band outside of which no such alignment exists. It never exceeds the
 similarity of the k-mers and equals it where their order agrees.
 
 Equal texts are one class before anything else. In each bucket of a sketch all members are
-verified against one representative; those that fail go on among themselves with a new
-representative until none is left, so a bucket of n similar texts costs n comparisons, not n*n,
-and all its rows are spread by text, not by bucket. Groups are the connected components.
+verified against one representative; those that fail go on among themselves with LEADERS times as
+many representatives, until none is left. A bucket of n similar texts so costs n comparisons, not
+n*n, the rounds grow with the logarithm of a bucket, and all rows are spread by text, not by
+bucket. Pairs whose lengths alone rule out the similarity, and pairs that others have joined
+already, are not aligned. Groups are the connected components.
 
 Edge cases: null and empty texts are one class of equal texts. A text of one to four words is one
 k-mer (it can only match an equal sequence of words). Repeated rows share their class. An
@@ -30,13 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm._bytes import binary_views, joined, mix64, powers, prefix_hash, slices, span_hash, words_of
-from tidemark.llm._common import bind_batches, cut
+from tidemark.llm._common import bind_batches, cut, small_plans
 from tidemark.llm._graph import components
 
 WORDS = 5
 SKETCHES = 16
-PICKS = 3
+PICKS = 4
 SIMILARITY = 0.8
+#: Factor by which the representatives of what is left of a bucket grow from round to round.
+LEADERS = 8
 
 _STEP = powers(0x9E3779B97F4A7C15, WORDS)
 _SEED = mix64(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
@@ -137,12 +141,14 @@ def aligned(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> flo
 def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = binary_views(batch.column("text"))
-        found = np.zeros((len(offsets) - 1, SKETCHES), np.int64)
+        found, size = np.zeros((len(offsets) - 1, SKETCHES), np.int64), np.zeros(len(offsets) - 1, np.int32)
         for a, b in slices(offsets):
-            found[a:b] = sketches(*kmers(data, offsets, a, b))
+            hashes, bounds = kmers(data, offsets, a, b)
+            found[a:b] = sketches(hashes, bounds)
+            size[a:b] = np.diff(bounds)
         flat = pa.array(found.ravel())
         bands = pa.ListArray.from_arrays(pa.array(np.arange(0, SKETCHES * (len(found) + 1), SKETCHES, dtype=np.int32)), flat)
-        yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("doc_id"), bands], ["uid", "doc_id", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("doc_id"), pa.array(size), bands], ["uid", "doc_id", "size", "bands"])
 
 
 def _sequence_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,38 +175,67 @@ def groups(docs: DataFrame) -> DataFrame:
     bind_batches(spark, 1000)
     rows = docs.select(F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("uid"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sketched = cut(rows.mapInArrow(_sketch_rows, f"uid binary, doc_id {kind}, bands array<long>"))
-    texts = sketched.groupBy("uid").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("times"), F.min("bands").alias("bands"))
-    members = cut(texts.select("uid", F.posexplode("bands").alias("band", "h")).where("h <> 0"))
-
-    def pairs(of: DataFrame) -> DataFrame:
-        """Every member of a bucket with the bucket's representative."""
-        heads = of.groupBy("band", "h").agg(F.min("uid").alias("head"), F.count("*").alias("m")).where("m > 1").select("band", "h", "head")
-        return of.join(heads, ["band", "h"]).where("uid <> head")
-
-    found = cut(pairs(members))
-    wanted = found.select("uid").unionByName(found.select(F.col("head").alias("uid"))).distinct()
+    sketched = cut(rows.mapInArrow(_sketch_rows, f"uid binary, doc_id {kind}, size int, bands array<long>"))
+    texts = sketched.groupBy("uid").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("times"), F.min("size").alias("size"), F.min("bands").alias("bands"))
+    buckets = texts.where("size > 0").select("uid", "size", F.posexplode("bands").alias("band", "h"))
+    shared = buckets.groupBy("band", "h").agg(F.count("*").alias("m")).where("m > 1").select("band", "h")
+    buckets = cut(buckets.join(shared, ["band", "h"], "left_semi"))
+
+    def led(of: DataFrame, leaders: int) -> DataFrame:
+        """Every member of a bucket with each of its representatives: the smallest of each of ``leaders`` parts."""
+        heads = of.withColumn("_part", F.pmod(F.xxhash64("uid"), F.lit(leaders))).groupBy("band", "h", "_part").agg(F.min(F.struct("uid", "size")).alias("x"))
+        heads = heads.select("band", "h", F.col("x.uid").alias("head"), F.col("x.size").alias("head_size"))
+        return of.join(heads, ["band", "h"])
+
+    fits = (F.col("uid") != F.col("head")) & (F.least("size", "head_size") >= SIMILARITY * F.greatest("size", "head_size"))
+    found = cut(led(buckets, 1))
+    wanted = found.where(fits).select(F.explode(F.array("uid", "head")).alias("uid")).distinct()
     sequences = cut(rows.join(wanted, "uid").select("uid", "text").mapInArrow(_sequence_rows, "uid binary, seq binary").groupBy("uid").agg(F.min("seq").alias("seq")))
-    known: DataFrame | None = None  # every pair verified so far, with its outcome
-    while True:
-        asked = found.select(F.col("uid").alias("u"), F.col("head").alias("v")).distinct()
-        if known is not None:
-            asked = asked.join(known.select("u", "v"), ["u", "v"], "left_anti")
+
+    def judged(asked: DataFrame) -> DataFrame:
         one = sequences.select(F.col("uid").alias("u"), F.col("seq").alias("a"))
         two = sequences.select(F.col("uid").alias("v"), F.col("seq").alias("b"))
-        judged = asked.join(one, "u").join(two, "v").select("u", "v", "a", "b").mapInArrow(_verified, "u binary, v binary, ok boolean")
-        known = cut(judged if known is None else known.unionByName(judged))
-        failed = found.join(known.where("not ok").select(F.col("u").alias("uid"), F.col("v").alias("head")), ["uid", "head"], "left_semi")
-        found = cut(pairs(failed.select("uid", "band", "h")))
-        if found.isEmpty():
-            break
-    roots = components(known.where("ok").select("u", "v"))
+        return cut(asked.join(one, "u").join(two, "v").select("u", "v", "a", "b").mapInArrow(_verified, "u binary, v binary, ok boolean"))
+
+    with small_plans(spark):
+        # First each text against its smallest representative only: in a group of copies that settles it.
+        pair = [F.greatest("uid", "head").alias("u"), F.least("uid", "head").alias("v")]
+        known = judged(found.where(fits).groupBy("uid").agg(F.min("head").alias("head")).select(*pair).distinct())
+        roots = components(known.where("ok").select("u", "v"))
+        leaders = 1
+        while True:
+            # Then the pairs that are neither judged nor joined through others yet.
+            asked = found.where(fits).select(*pair).distinct().join(known.select("u", "v"), ["u", "v"], "left_anti")
+            apart = _apart(asked, roots, "u", "v").where("apart").select("u", "v")
+            new = judged(apart)
+            if not new.isEmpty():
+                known = cut(known.unionByName(new))
+                roots = components(known.where("ok").select("u", "v"))
+            # Members that are joined with none of their representatives go on among themselves.
+            left = _apart(found, roots, "uid", "head").groupBy("band", "h", "uid", "size").agg(F.min("apart").alias("apart")).where("apart").drop("apart")
+            again = left.groupBy("band", "h").agg(F.count("*").alias("m")).where("m > 1").select("band", "h")
+            leaders *= LEADERS
+            found = cut(led(left.join(again, ["band", "h"], "left_semi"), leaders))
+            if found.isEmpty():
+                break
+            more = found.where(fits).select(F.explode(F.array("uid", "head")).alias("uid")).distinct().join(sequences.select("uid"), "uid", "left_anti")
+            if not more.isEmpty():
+                extra = rows.join(more, "uid").select("uid", "text").mapInArrow(_sequence_rows, "uid binary, seq binary").groupBy("uid").agg(F.min("seq").alias("seq"))
+                sequences = cut(sequences.unionByName(extra))
     labels = texts.join(roots.select(F.col("node").alias("uid"), "root"), "uid", "left").select("uid", "first_id", "times", F.coalesce("root", "uid").alias("root"))
     classes = labels.groupBy("root").agg(F.min("first_id").alias("class_id"), F.sum("times").alias("group_rows"))
     of_text = labels.join(classes, "root").select("uid", "class_id", "group_rows")
     return sketched.select("uid", "doc_id").join(of_text, "uid")
 
 
+def _apart(pairs: DataFrame, roots: DataFrame, a: str, b: str) -> DataFrame:
+    """``pairs`` with ``apart``: whether the two differ and are in different components so far."""
+    left = roots.select(F.col("node").alias(a), F.col("root").alias("_ra"))
+    right = roots.select(F.col("node").alias(b), F.col("root").alias("_rb"))
+    out = pairs.join(left, a, "left").join(right, b, "left")
+    return out.withColumn("apart", (F.col(a) != F.col(b)) & ~F.coalesce(F.col("_ra") == F.col("_rb"), F.lit(False))).drop("_ra", "_rb")
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id, group_rows, kept (the document whose id names the class) for every row."""
     return groups(docs.select("doc_id", "text")).select("doc_id", "class_id", "group_rows", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
