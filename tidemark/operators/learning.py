@@ -201,7 +201,7 @@ def logistic(features: Sequence[str], label: str, weights: float) -> Any:
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
 
-    model = LogisticRegression(featuresCol="_x", labelCol=label, weightCol="_w", maxIter=2000, regParam=1 / (0.5 * max(weights, 1.0)), elasticNetParam=0.0, standardization=False, probabilityCol="_prob", rawPredictionCol="_rawp")
+    model = LogisticRegression(featuresCol="_x", labelCol=label, weightCol="_w", maxIter=2000, regParam=1 / (0.5 * max(weights, 1.0)), elasticNetParam=0.0, standardization=False)
     return Pipeline(stages=[*_assembled(features, True), model])
 
 
@@ -210,7 +210,7 @@ def boosted(features: Sequence[str], label: str, weights: float, trees: int = 30
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier
 
-    model = GBTClassifier(featuresCol="_x", labelCol=label, weightCol="_w", maxIter=trees, stepSize=0.05, maxDepth=5, minInstancesPerNode=50, subsamplingRate=0.9, seed=42, probabilityCol="_prob", rawPredictionCol="_rawp")
+    model = GBTClassifier(featuresCol="_x", labelCol=label, weightCol="_w", maxIter=trees, stepSize=0.05, maxDepth=5, minInstancesPerNode=50, subsamplingRate=0.9, seed=42)
     return Pipeline(stages=[*_assembled(features, False), model])
 
 
@@ -245,7 +245,7 @@ def fit_predict(name: str, train: DataFrame, score: DataFrame, features: Sequenc
 
     weighted, total = balanced(train, label)
     fitted = model(name, features, label, total).fit(weighted)
-    return fitted.transform(score).withColumn("proba", vector_to_array("_prob")[1])
+    return fitted.transform(score).withColumn("proba", vector_to_array("probability")[1])
 
 
 def train(matrix: DataFrame, name: str, horizon: int, features: Sequence[str] | None = None, folds: int = FOLDS, embargo: int = EMBARGO) -> tuple[DataFrame, DataFrame]:

@@ -689,7 +689,7 @@ def train_boosted(spark: SparkSession, sf: str) -> DataFrame:
     weighted, _ = learning.balanced(rows.withColumn("label_up_5d", F.col("label_up_5d")), "label_up_5d")
     from pyspark.ml.functions import vector_to_array
 
-    scored = fitted.fit(weighted).transform(rows).withColumn("proba", vector_to_array("_prob")[1]).withColumnRenamed("label_up_5d", "label")
+    scored = fitted.fit(weighted).transform(rows).withColumn("proba", vector_to_array("probability")[1]).withColumnRenamed("label_up_5d", "label")
     return rounded(learning.classification_metrics(scored))
 
 
