@@ -71,17 +71,26 @@ def bind_batches(spark: SparkSession, rows: int = 500) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+#: Rows of a small table that one shuffle partition takes inside ``small_plans``.
+ROWS_A_PARTITION = 50_000
+
+
 @contextlib.contextmanager
-def small_plans(spark: SparkSession) -> Iterator[None]:
-    """Runs many small plans without compiling each into classes of its own.
+def small_plans(spark: SparkSession, rows: int | None = None) -> Iterator[None]:
+    """Runs many small plans without compiling each into classes of its own, over partitions to suit ``rows``.
 
-    Iterative operators make hundreds of plans over little data; the compiled code of each would
-    stay in the driver's memory and cost more than it saves.
+    Iterative operators make hundreds of plans; the compiled code and the task records of each
+    would stay in the driver's memory and cost more than they save.
     """
-    key = "spark.sql.codegen.wholeStage"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "false")
+    now = {"spark.sql.codegen.wholeStage": "false"}
+    if rows is not None:
+        most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        now["spark.sql.shuffle.partitions"] = str(max(4, -(-rows // ROWS_A_PARTITION)) if rows < most * ROWS_A_PARTITION else most)
+    before = {k: spark.conf.get(k) for k in now}
+    for k, v in now.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)

@@ -197,7 +197,7 @@ def groups(docs: DataFrame) -> DataFrame:
         two = sequences.select(F.col("uid").alias("v"), F.col("seq").alias("b"))
         return cut(asked.join(one, "u").join(two, "v").select("u", "v", "a", "b").mapInArrow(_verified, "u binary, v binary, ok boolean"))
 
-    with small_plans(spark):
+    with small_plans(spark, found.count()):
         # First each text against its smallest representative only: in a group of copies that settles it.
         pair = [F.greatest("uid", "head").alias("u"), F.least("uid", "head").alias("v")]
         known = judged(found.where(fits).groupBy("uid").agg(F.min("head").alias("head")).select(*pair).distinct())
@@ -210,7 +210,8 @@ def groups(docs: DataFrame) -> DataFrame:
             new = judged(apart)
             if not new.isEmpty():
                 known = cut(known.unionByName(new))
-                roots = components(known.where("ok").select("u", "v"))
+                if not new.where("ok").isEmpty():
+                    roots = components(known.where("ok").select("u", "v"))
             # Members that are joined with none of their representatives go on among themselves.
             left = _apart(found, roots, "uid", "head").groupBy("band", "h", "uid", "size").agg(F.min("apart").alias("apart")).where("apart").drop("apart")
             again = left.groupBy("band", "h").agg(F.count("*").alias("m")).where("m > 1").select("band", "h")
