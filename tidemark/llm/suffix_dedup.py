@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm._bytes import SLICE_BYTES, binary_views, mix64, prefix_hash, slices, span_hash
-from tidemark.llm._common import bind_batches, cut
+from tidemark.llm._common import bind_batches, cut, written
 
 LENGTH = 400
 GRAM = 128
@@ -291,9 +291,9 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     bind_batches(docs.sparkSession, 1000)
     rows = docs.withColumn("k1", F.xxhash64(F.lit(1), "doc_id", "text")).withColumn("k2", F.xxhash64(F.lit(2), "text", "doc_id"))
     texts = rows.select("k1", "k2", "text")
-    found = cut(texts.mapInArrow(_anchor_rows, _ANCHOR))
+    found = written(texts.mapInArrow(_anchor_rows, _ANCHOR))
     contexts = found.groupBy("a", "c").agg(F.count("*").alias("times"), F.min(F.struct("k1", "k2", "lo", "n", "place")).alias("at"))
-    contexts = cut(contexts.select("a", "c", "times", "at.*"))
+    contexts = written(contexts.select("a", "c", "times", "at.*"))
     several = contexts.groupBy("a").agg(F.count("*").alias("m")).where("m > 1")
     contested = contexts.join(several, "a").select("k1", "k2", F.struct("a", "c", "lo", "n", "place", (F.col("m") > HOT).alias("hot")).alias("x"))
     lists = contested.groupBy("k1", "k2").agg(F.collect_list("x").alias("wanted"))  # of one text: bounded by its length
