@@ -180,6 +180,36 @@ def test_near_copies(docs, none):
     assert kept.columns == docs.columns and sorted(r[0] for r in kept.select("doc_id").collect()) == sorted(set(root.values()))
 
 
+def edited(rng, w, n):
+    w = list(w)
+    for i in rng.sample(range(len(w)), n):
+        w[i] = f"x{rng.random()}"
+    return w
+
+
+def test_near_copies_of_loose_groups(spark):
+    rng = random.Random(11)
+    texts = []
+    for _ in range(3):  # an original and copies that are near to it only
+        base = prose(rng, 300).split()
+        texts += [base, *[edited(rng, base, 6) for _ in range(40)]]
+    w = prose(rng, 300).split()
+    for _ in range(30):  # a chain: each is near to its neighbours
+        w = edited(rng, w, 5)
+        texts.append(w)
+    passage = prose(rng, 100).split()
+    texts += [passage + prose(rng, 60).split() for _ in range(60)]
+    grams = [Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in texts]
+    near = [(a, b) for a in range(len(texts)) for b in range(a) if (grams[a] & grams[b]).total() >= 0.8 * (grams[a] | grams[b]).total()]
+    root = list(range(len(texts)))
+    for a, b in near:
+        x, y = root[a], root[b]
+        root = [min(x, y) if v in (x, y) else v for v in root]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["class_id"] for r in order_minhash.classes(df).collect()}
+    assert [got[i] for i in range(len(texts))] == root
+
+
 # 5, 7, 8 ------------------------------------------------------------------------------------
 
 

@@ -10,12 +10,15 @@ them: aligned / (n + m - aligned) >= 0.8, where ``aligned`` is the longest commo
 within the band outside of which no such alignment exists. It never exceeds the Jaccard
 similarity of the k-mers and equals it where their order agrees.
 
-Equal texts are one class before anything else. In each bucket of a sketch all members are
-verified against one representative; those that fail go on among themselves with LEADERS times as
-many representatives, until none is left. A bucket of n similar texts so costs n comparisons, not
-n*n, the rounds grow with the logarithm of a bucket, and all rows are spread by text, not by
-bucket. Pairs whose lengths alone rule out the similarity, and pairs that others have joined
-already, are not aligned. Groups are the connected components.
+Equal texts are one class before anything else. In each bucket of a sketch all members are first
+verified against one representative, which joins most of a group at the cost of n comparisons,
+not n*n. Members of buckets that are not one component by then are compared exactly, whether joined
+already or not: similar texts must share one of the first 20 % + 1 of their k-mers in any fixed
+order, so texts that share such a k-mer, whose lengths and places of it allow the similarity and
+which are in different components are aligned, until no such pair is left. The order puts k-mers
+known to be in many texts last, so a passage that many texts share makes few pairs; it cannot
+change the result. Pairs of a frequent k-mer are dealt out by salt. Groups are the connected
+components.
 
 Edge cases: null and empty texts are one class of equal texts. A text of one to four words is one
 k-mer (it can only match an equal sequence of words). Repeated rows share their class. An
@@ -39,8 +42,10 @@ WORDS = 5
 SKETCHES = 16
 PICKS = 4
 SIMILARITY = 0.8
-#: Factor by which the representatives of what is left of a bucket grow from round to round.
-LEADERS = 8
+#: To know frequent k-mers: texts looked at, texts that have one at least, and most that are kept. The result does not depend on them.
+FREQUENT_TEXTS, FREQUENT_LEAST, FREQUENT_MOST = 4000, 8, 50_000
+#: Rows of a k-mer that meet in one task.
+SALT_ROWS = 512
 
 _STEP = powers(0x9E3779B97F4A7C15, WORDS)
 _SEED = mix64(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
@@ -169,6 +174,26 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(ok, pa.bool_())], ["u", "v", "ok"])
 
 
+def _kmer_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        each = [np.unique(np.frombuffer(x, np.uint32)) for x in batch.column("seq").to_pylist()]
+        k, n = np.unique(np.concatenate([np.zeros(0, np.uint32), *each]), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int64)), pa.array(n.astype(np.int64))], ["k", "n"])
+
+
+def prefix(seq: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """The k-mers of a text, labelled with their repeats, of which any text of SIMILARITY shares one; in the common order."""
+    order = np.argsort(seq, kind="stable")
+    fresh = np.concatenate([[True], np.diff(seq[order].astype(np.int64)) != 0])
+    place = np.arange(len(seq))
+    label = (place - np.maximum.accumulate(np.where(fresh, place, 0))).astype(np.uint64)
+    sorted_ = seq[order].astype(np.uint64)
+    x = mix64(sorted_ + label * np.uint64(0xA0761D6478BD642F)) >> np.uint64(1)
+    common = np.isin(sorted_, frequent)
+    need = int(np.ceil(SIMILARITY * len(seq) - 1e-9))
+    return x[np.lexsort((x, common))[: len(seq) - need + 1]].view(np.int64)
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id, uid (hash of the text), class_id (smallest id of the group), group_rows for every row of ``docs``."""
     spark = docs.sparkSession
@@ -178,18 +203,9 @@ def groups(docs: DataFrame) -> DataFrame:
     sketched = cut(rows.mapInArrow(_sketch_rows, f"uid binary, doc_id {kind}, size int, bands array<long>"))
     texts = sketched.groupBy("uid").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("times"), F.min("size").alias("size"), F.min("bands").alias("bands"))
     buckets = texts.where("size > 0").select("uid", "size", F.posexplode("bands").alias("band", "h"))
-    shared = buckets.groupBy("band", "h").agg(F.count("*").alias("m")).where("m > 1").select("band", "h")
-    buckets = cut(buckets.join(shared, ["band", "h"], "left_semi"))
-
-    def led(of: DataFrame, leaders: int) -> DataFrame:
-        """Every member of a bucket with each of its representatives: the smallest of each of ``leaders`` parts."""
-        heads = of.withColumn("_part", F.pmod(F.xxhash64("uid"), F.lit(leaders))).groupBy("band", "h", "_part").agg(F.min(F.struct("uid", "size")).alias("x"))
-        heads = heads.select("band", "h", F.col("x.uid").alias("head"), F.col("x.size").alias("head_size"))
-        return of.join(heads, ["band", "h"])
-
-    fits = (F.col("uid") != F.col("head")) & (F.least("size", "head_size") >= SIMILARITY * F.greatest("size", "head_size"))
-    found = cut(led(buckets, 1))
-    wanted = found.where(fits).select(F.explode(F.array("uid", "head")).alias("uid")).distinct()
+    heads = buckets.groupBy("band", "h").agg(F.count("*").alias("m"), F.min(F.struct("uid", "size")).alias("x")).where("m > 1")
+    found = cut(buckets.join(heads.select("band", "h", F.col("x.uid").alias("head"), F.col("x.size").alias("head_size")), ["band", "h"]))
+    wanted = found.select("uid").distinct()
     sequences = cut(rows.join(wanted, "uid").select("uid", "text").mapInArrow(_sequence_rows, "uid binary, seq binary").groupBy("uid").agg(F.min("seq").alias("seq")))
 
     def judged(asked: DataFrame) -> DataFrame:
@@ -197,38 +213,78 @@ def groups(docs: DataFrame) -> DataFrame:
         two = sequences.select(F.col("uid").alias("v"), F.col("seq").alias("b"))
         return cut(asked.join(one, "u").join(two, "v").select("u", "v", "a", "b").mapInArrow(_verified, "u binary, v binary, ok boolean"))
 
+    def rooted(of: DataFrame, roots: DataFrame) -> DataFrame:
+        return of.join(roots.select(F.col("node").alias("uid"), "root"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+
     with small_plans(spark, found.count()):
-        # First each text against its smallest representative only: in a group of copies that settles it.
+        # First each text against its smallest representative only, then against the others that it is not joined with.
+        fits = (F.col("uid") != F.col("head")) & (F.least("size", "head_size") >= SIMILARITY * F.greatest("size", "head_size"))
         pair = [F.greatest("uid", "head").alias("u"), F.least("uid", "head").alias("v")]
         known = judged(found.where(fits).groupBy("uid").agg(F.min("head").alias("head")).select(*pair).distinct())
         roots = components(known.where("ok").select("u", "v"))
-        leaders = 1
-        while True:
-            # Then the pairs that are neither judged nor joined through others yet.
-            asked = found.where(fits).select(*pair).distinct().join(known.select("u", "v"), ["u", "v"], "left_anti")
-            apart = _apart(asked, roots, "u", "v").where("apart").select("u", "v")
-            new = judged(apart)
+
+        def settle(asked: DataFrame) -> None:
+            nonlocal known, roots
+            new = judged(_apart(asked.join(known.select("u", "v"), ["u", "v"], "left_anti"), roots, "u", "v").where("apart").select("u", "v"))
             if not new.isEmpty():
                 known = cut(known.unionByName(new))
                 if not new.where("ok").isEmpty():
                     roots = components(known.where("ok").select("u", "v"))
-            # Members that are joined with none of their representatives go on among themselves.
-            left = _apart(found, roots, "uid", "head").groupBy("band", "h", "uid", "size").agg(F.min("apart").alias("apart")).where("apart").drop("apart")
-            again = left.groupBy("band", "h").agg(F.count("*").alias("m")).where("m > 1").select("band", "h")
-            leaders *= LEADERS
-            found = cut(led(left.join(again, ["band", "h"], "left_semi"), leaders))
-            if found.isEmpty():
-                break
-            more = found.where(fits).select(F.explode(F.array("uid", "head")).alias("uid")).distinct().join(sequences.select("uid"), "uid", "left_anti")
-            if not more.isEmpty():
-                extra = rows.join(more, "uid").select("uid", "text").mapInArrow(_sequence_rows, "uid binary, seq binary").groupBy("uid").agg(F.min("seq").alias("seq"))
-                sequences = cut(sequences.unionByName(extra))
+
+        settle(found.where(fits).select(*pair).distinct())
+        # Then every pair of the buckets that are not one component.
+        placed = rooted(found.select("uid", "band", "h"), roots)
+        contested = placed.groupBy("band", "h").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("band", "h")
+        members = placed.join(contested, ["band", "h"], "left_semi").select("uid").distinct()
+        pairs = cut(_candidates(rooted(sequences.join(members, "uid", "left_semi"), roots)))
+        # One pair for each text and foreign component first: in a dense group that leaves few others.
+        settle(pairs.groupBy("u", "rv").agg(F.min("v").alias("v")).select("u", "v"))
+        settle(pairs.select("u", "v"))
     labels = texts.join(roots.select(F.col("node").alias("uid"), "root"), "uid", "left").select("uid", "first_id", "times", F.coalesce("root", "uid").alias("root"))
     classes = labels.groupBy("root").agg(F.min("first_id").alias("class_id"), F.sum("times").alias("group_rows"))
     of_text = labels.join(classes, "root").select("uid", "class_id", "group_rows")
     return sketched.select("uid", "doc_id").join(of_text, "uid")
 
 
+def _candidates(texts: DataFrame) -> DataFrame:
+    """u, v, rv (component of v): all pairs of ``texts`` (uid, seq, root) that may be similar and are in different components."""
+    texts = cut(texts)
+    share = FREQUENT_TEXTS / max(texts.count(), 1)
+    some = texts.where(F.pmod(F.xxhash64("uid"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1)).select("seq")
+    counts = some.mapInArrow(_kmer_counts, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT_LEAST)
+    frequent = np.array([r["k"] for r in counts.orderBy(F.desc("n"), "k").limit(FREQUENT_MOST).collect()], np.uint64)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seqs = [np.frombuffer(x, np.uint32) for x in batch.column("seq").to_pylist()]
+            each = [prefix(x, frequent) for x in seqs]
+            long = [len(x) for x in each]
+            row = pa.array(np.repeat(np.arange(len(each)), long))
+            place = np.concatenate([np.zeros(0, np.int64), *[np.arange(n) for n in long]]).astype(np.int32)
+            size = pa.array([len(x) for x in seqs], pa.int32()).take(row)
+            token = pa.array(np.concatenate([np.zeros(0, np.int64), *each]))
+            yield pa.RecordBatch.from_arrays([batch.column("uid").take(row), batch.column("root").take(row), size, pa.array(place), token], ["uid", "root", "size", "place", "token"])
+
+    tokens = texts.mapInArrow(prefixes, "uid binary, root binary, size int, place int, token long")
+    sums = tokens.groupBy("token", "root").agg(F.count("*").alias("n"))
+    # The largest component of a k-mer needs no pairs within; the others meet all.
+    of_token = sums.groupBy("token").agg(F.count("*").alias("roots"), F.sum("n").alias("m"), F.max(F.struct("n", "root")).alias("x")).where("roots > 1")
+    parts = F.ceil(F.col("m") / SALT_ROWS).cast("int")
+    tokens = cut(tokens.join(of_token.select("token", parts.alias("parts"), F.col("x.root").alias("main")), "token"))
+    left = tokens.where("root != main").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    right = tokens.withColumn("salt", F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int"))
+    names = ["uid", "root", "size", "place"]
+    left = left.select("token", "salt", *[F.col(c).alias(f"{c}_a") for c in names])
+    right = right.select("token", "salt", "main", *[F.col(c).alias(f"{c}_b") for c in names])
+    # k-mers that can be shared: those before the common one, it, and those after it.
+    most = F.least("place_a", "place_b") + F.lit(1) + F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b")) - F.lit(1)
+    may = (F.col("root_a") != F.col("root_b")) & (most >= F.lit(SIMILARITY / (1 + SIMILARITY)) * (F.col("size_a") + F.col("size_b")) - F.lit(1e-6))
+    met = left.join(right, ["token", "salt"]).where(may)
+    first = F.col("uid_a") > F.col("uid_b")
+    pick = lambda c, large: F.when(first == F.lit(large), F.col(f"{c}_a")).otherwise(F.col(f"{c}_b"))
+    return met.select(pick("uid", True).alias("u"), pick("uid", False).alias("v"), pick("root", False).alias("rv")).distinct()
+
+
 def _apart(pairs: DataFrame, roots: DataFrame, a: str, b: str) -> DataFrame:
     """``pairs`` with ``apart``: whether the two differ and are in different components so far."""
     left = roots.select(F.col("node").alias(a), F.col("root").alias("_ra"))
