@@ -347,3 +347,27 @@ def test_vectors(spark, monkeypatch):
     assert all(got[i]["component_id"] == root[i] for i in range(402))
     assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in range(402, 407))
     assert hnsw.neighbours(df.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("own", [None, 0])
+def test_audit_without_links_is_no_evidence(own):
+    class Blind:
+        """Finds nothing, or nothing but the query itself."""
+
+        def query(self, q, beam):
+            ids = np.full((len(q), beam), -1)
+            if own is not None:
+                ids[:, 0] = np.arange(len(q))
+            return ids, np.where(ids >= 0, 1, -np.inf).astype(np.float32)
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(900, 16))
+    x[501] = x[17] * 2 + 1e-3
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    q = x[:700]
+    if own is None:
+        q = rng.normal(size=(700, 16))
+        q[501] = x[17]
+        q /= np.linalg.norm(q, axis=1, keepdims=True)
+    u, v, _ = hnsw.links(Blind(), x, q, **({} if own is None else {"own": own}))
+    assert (501, 17) in set(zip(u.tolist(), v.tolist(), strict=True))

@@ -3,9 +3,10 @@
 Equal vectors are one class. Classes are dealt to shards of about SHARD_ROWS; each shard builds
 its graph in one task. Every class then queries every shard, a block of queries at a time, all
 beams of a block in step. In each (block, shard) task a sample of the queries is audited
-against an exact scan, and the beam is widened until the audit finds RECALL of the true
-neighbours; a query whose beam is half full of links may have more than fit, so it is
-answered by an exact scan of that shard. Every link is verified by its cosine in double
+against an exact scan, which goes on until it has met AUDIT_LINKS true links of other vectors; the
+beam is widened until the audit finds RECALL of them. Where links are so few that the scan ends
+first, it is the answer of the whole block. A query whose beam is half full of links may have more
+than fit, so it is answered by an exact scan of that shard. Every link is verified by its cosine in double
 precision. Tasks return sums of links for each vector and a spanning forest of their links, both
 linear in the vectors they saw, never all pairs of a dense group.
 
@@ -35,6 +36,8 @@ BEAM = 48
 BUILD_BEAM = 48
 RECALL = 0.98
 AUDIT = 24
+#: True links that an audit must have seen; with fewer, one miss in fifty could not be told.
+AUDIT_LINKS = 50
 WIDE = 4  # beam members expanded in one step
 
 
@@ -192,13 +195,32 @@ class Graph:
         return g
 
 
-def links(graph: Graph, x: np.ndarray, q: np.ndarray, cosine: float = COSINE, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray, float]:
-    """Pairs (query, node) of cosine at least ``cosine`` (unit vectors in double), and the recall of the last audit."""
+def links(graph: Graph, x: np.ndarray, q: np.ndarray, cosine: float = COSINE, beam: int = BEAM, own: int | None = None) -> tuple[np.ndarray, np.ndarray, float]:
+    """Pairs (query, node) of cosine at least ``cosine`` (unit vectors in double), and the recall of the last audit.
+
+    Queries that are nodes themselves, from node ``own`` on, are not linked with themselves.
+    """
     if not len(q) or not len(x):
         return np.zeros(0, int), np.zeros(0, int), 1.0
     slack = np.float32(cosine - 1e-4)
-    audit = np.unique(np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int))
-    truth = q[audit] @ x.T >= cosine
+
+    def scan(some: np.ndarray) -> np.ndarray:
+        out = q[some] @ x.T >= cosine
+        if own is not None:
+            out[np.arange(len(some)), own + some] = False
+        return out
+
+    order = np.random.default_rng(0).permutation(len(q))
+    seen, done, parts = 0, 0, []
+    while done < len(q) and seen < AUDIT_LINKS:
+        parts.append(scan(order[done : done + min(AUDIT << len(parts), 256)]))
+        seen += int(parts[-1].sum())
+        done += len(parts[-1])
+    audit, truth = order[:done], np.concatenate(parts)
+    r, c = np.nonzero(truth)
+    us, vs = [audit[r]], [c]
+    if done == len(q):
+        return us[0], vs[0], 1.0
     while True:
         beam = min(beam, len(x))
         ids, sims = graph.query(q, beam)
@@ -208,16 +230,20 @@ def links(graph: Graph, x: np.ndarray, q: np.ndarray, cosine: float = COSINE, be
         r, c = np.nonzero(hit[audit])
         found[r, ids[audit][r, c]] = True
         found[full[audit]] = True
-        recall = (found & truth).sum() / max(truth.sum(), 1) if truth.any() else 1.0
+        recall = (found & truth).sum() / truth.sum()
         if recall >= RECALL or beam >= len(x):
             break
         beam *= 2
+    full[audit] = hit[audit] = False  # answered by the audit
     u, c = np.nonzero(hit & ~full[:, None])
     v = ids[u, c]
     ok = np.einsum("id,id->i", q[u], x[v]) >= cosine
-    us, vs = [u[ok]], [v[ok]]
+    if own is not None:
+        ok &= own + u != v
+    us.append(u[ok])
+    vs.append(v[ok])
     for a in range(0, len(dense := np.flatnonzero(full)), 256):
-        r, c = np.nonzero(q[dense[a : a + 256]] @ x.T >= cosine)
+        r, c = np.nonzero(scan(dense[a : a + 256]))
         us.append(dense[a : a + 256][r])
         vs.append(c)
     return np.concatenate(us), np.concatenate(vs), float(recall)
@@ -308,12 +334,9 @@ def neighbours(vectors: DataFrame) -> DataFrame:
                 get = {c: batch.column(c)[r].as_py() for c in batch.schema.names}
                 d = get["size"] // 8
                 x, q = np.frombuffer(get["units"]).reshape(-1, d), np.frombuffer(get["q_units"]).reshape(-1, d)
-                u, v, _ = links(Graph.load(get["graph"], x), x, q)
-                t_x, t_q = np.frombuffer(get["times"], np.int64), np.frombuffer(get["q_times"], np.int64)
                 own = get["home"] == get["shard"]
-                if own:
-                    other = u + get["first"] != v
-                    u, v = u[other], v[other]
+                u, v, _ = links(Graph.load(get["graph"], x), x, q, own=get["first"] if own else None)
+                t_x, t_q = np.frombuffer(get["times"], np.int64), np.frombuffer(get["q_times"], np.int64)
                 sums = [(get["q_uids"], np.bincount(u, weights=t_x[v], minlength=len(q)))]
                 if not own:
                     sums.append((get["uids"], np.bincount(v, weights=t_q[u], minlength=len(x))))
