@@ -277,6 +277,17 @@ def test_toxicity(docs, none):
     assert toxicity.predict(docs, model).count() == docs.count() and toxicity.predict(none, model).count() == 0
 
 
+def test_misspelt_short_words_and_stems():
+    rng = random.Random(6)
+    clean = [f"{prose(rng, 60)} {'idiom' if i % 3 else 'union'} {prose(rng, 5)}" for i in range(100)]
+    toxic = [f"{prose(rng, 30)} {rng.choice(['idiot', 'moron'])} loweib{rng.choice('xyz')}{i} {prose(rng, 30)}" for i in range(60)]
+    model = toxicity.fit_texts(clean + toxic, [0] * 100 + [1] * 60)
+    assert {t for t, _ in model.lexicon.terms} >= {"idiot", "moron"} and any(stem for _, stem in model.lexicon.terms)
+    rest = prose(random.Random(9), 40)
+    plain, exact, tame, *loose = model.scores([f"{rest} {w} {rest}" for w in ("tisher", "idiot", "idiom", "idoit", "morron", "idot", "lowejbq7")])
+    assert tame == plain and all(plain < v < exact for v in loose)
+
+
 # 6 ------------------------------------------------------------------------------------------
 
 

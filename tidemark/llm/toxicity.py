@@ -8,7 +8,9 @@ gives one table over characters. All words of a batch step through that table to
 
 Each hit then gets the features of a window of CONTEXT words around it: other hits near it,
 quotation marks or reporting words about it. A logistic model learned from the labelled rows
-weighs hits inside and outside quotation, exact and misspelled, into the score of the text.
+weighs hits inside and outside quotation, exact and misspelled, into the score of the text. Words one
+edit or swap away from shorter terms and from word beginnings are a feature of their own with a
+lower weight; those that clean labelled texts have do not count.
 
 Edge cases: a null, empty or word-less text has no hits and gets the lowest score, never an
 error. Repeated rows get equal scores. An empty table gives an empty result. Without labels of
@@ -30,6 +32,8 @@ CONTEXT = 12
 THRESHOLD = 0.5
 #: A misspelling may spend one edit on words of at least so many letters; shorter ones must be exact.
 FUZZY_LETTERS = 6
+#: The same of loose hits, for whole words and word beginnings.
+LOOSE_LETTERS = 5
 STEM_LETTERS = (4, 5, 6, 7, 8)
 SLICE_CHARS = 1 << 19
 #: Quotation marks (fixed values).
@@ -58,7 +62,9 @@ class Lexicon:
     no term, 1 where it is one (or begins with a stem), 2 where it is one edit away.
     """
 
-    def __init__(self, terms: list[Term]) -> None:
+    def __init__(self, terms: list[Term], loose: bool = False) -> None:
+        if loose:
+            terms = sorted({t for t in terms if len(t[0]) >= LOOSE_LETTERS})
         self.terms = terms
         letters = sorted({c for t, _ in terms for c in t})
         self.alphabet = np.zeros(0x10000, dtype=np.int32)  # 0: any letter that no term has
@@ -68,7 +74,7 @@ class Lexicon:
         ends: list[tuple[bool, bool]] = [(False, False)]  # whole word, stem
         edits = [0]  # most edits that a term below this node allows
         for term, stem in terms:
-            node, allowed = 0, 1 if len(term) >= FUZZY_LETTERS and not stem else 0
+            node, allowed = 0, 1 if loose or (len(term) >= FUZZY_LETTERS and not stem) else 0
             edits[0] = max(edits[0], allowed)
             for c in term:
                 code = int(self.alphabet[min(ord(c), 0xFFFF)])
@@ -114,14 +120,18 @@ class Lexicon:
                         out.add((nxt, e))
                         if ends[nxt][1] and e == 0:
                             out.add((-1, 0))
+                        elif ends[nxt][1] and loose:
+                            out.add((-2, 1))
                     if e < edits[node]:
                         out.add((node, e + 1))  # a letter too many
                         out |= {(nxt, e + 1) for nxt in child[node].values() if e < edits[nxt]}  # another letter
                 new = close(out)
+                if loose and any(node >= 0 and e and ends[node][1] for node, e in new):
+                    new = frozenset({*new, (-2, 1)})  # the beginning is met with an edit: any tail
                 if new not in index:
                     index[new] = len(index)
                     queue.append(new)
-                    kinds = {1 if e == 0 else 2 for node, e in new if node < 0 or (ends[node][0] and (e == 0 or node in self.fuzzy_end))}
+                    kinds = {1 if e == 0 else 2 for node, e in new if node < 0 or (loose and ends[node][1]) or (ends[node][0] and (e == 0 or node in self.fuzzy_end))}
                     value.append(min(kinds) if kinds else 0)
                 row[code] = index[new]
             rows.append(row)
@@ -194,11 +204,42 @@ def learn_terms(texts: list[str], labels: list[int], share: float = 0.02, most:
     return sorted(chosen)
 
 
-N_FEATURES = 6
+def swapped(terms: list[Term]) -> list[Term]:
+    """Terms with two neighbouring letters swapped."""
+    made = {(t[:i] + t[i + 1] + t[i] + t[i + 2 :], stem) for t, stem in terms if len(t) >= LOOSE_LETTERS for i in range(len(t) - 1)}
+    return sorted(made - set(terms))
+
+
+class Loose:
+    """Words that are near to terms for which the lexicon has no edits, or are one swap away; not those in ``tame``."""
+
+    def __init__(self, terms: list[Term]) -> None:
+        self.near, self.swaps = Lexicon(terms, loose=True), Lexicon([(t, s) for t, s in swapped(terms)])
+        self.tame: set[str] = set()
+
+    def found(self, code: np.ndarray, start: np.ndarray, end: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """Indices of the words that match and are no hits of the lexicon (``kind``)."""
+        some = np.flatnonzero((kind == 0) & (end - start >= LOOSE_LETTERS - 1))
+        s, e = start[some], end[some]
+        some = some[(self.near.match(code, s, e) > 0) | (self.swaps.match(code, s, e) == 1)]
+        return some[[self.word(code, start[i], end[i]) not in self.tame for i in some]] if len(some) else some
+
+    @staticmethod
+    def word(code: np.ndarray, a: int, b: int) -> str:
+        return code[a:b].tobytes().decode("utf-32-le", "surrogatepass")
 
+    def learn(self, lexicon: Lexicon, texts: list[str]) -> None:
+        """Adds the variants that clean ``texts`` have."""
+        for t in texts:
+            code, s, e = words(t)
+            self.tame |= {self.word(code, s[i], e[i]) for i in self.found(code, s, e, lexicon.match(code, s, e))}
 
-def features(lexicon: Lexicon, texts: list[str]) -> np.ndarray:
-    """Per text: hits outside quotation (exact, misspelled), inside, crowded hits, share of words, any (all damped)."""
+
+N_FEATURES = 7
+
+
+def features(lexicon: Lexicon, texts: list[str], loose: Loose | None = None) -> np.ndarray:
+    """Per text: hits outside quotation (exact, misspelled), inside, crowded hits, share of words, any, loose hits outside (all damped)."""
     text = "\n".join(texts)
     lengths = np.array([len(t.lower()) for t in texts])
     code, s, e = words(text)
@@ -209,17 +250,26 @@ def features(lexicon: Lexicon, texts: list[str]) -> np.ndarray:
     x = np.zeros((n, N_FEATURES))
     row_all = np.searchsorted(bounds, s, side="right")
     total = np.bincount(row_all, minlength=n)[:n] if len(s) else np.zeros(n)
-    if len(hit):
+    loosely = loose.found(code, s, e, kind) if loose else np.zeros(0, int)
+    if not len(hit) and not len(loosely):
+        return x
+    mark = np.flatnonzero(np.isin(code, np.array([ord(c) for c in QUOTES], dtype=np.uint32)))
+    outer = np.ones(len(mark), bool)  # an apostrophe inside a word is none
+    inner = (mark > 0) & (mark < len(code) - 1)
+    outer[inner] = ~(_LETTER[np.minimum(code[mark[inner] - 1], 0xFFFF)] & _LETTER[np.minimum(code[mark[inner] + 1], 0xFFFF)])
+    mark = mark[outer]
+
+    def in_quotes(hit: np.ndarray) -> np.ndarray:
         row = row_all[hit]
-        mark = np.flatnonzero(np.isin(code, np.array([ord(c) for c in QUOTES], dtype=np.uint32)))
-        outer = np.ones(len(mark), bool)  # an apostrophe inside a word is none
-        inner = (mark > 0) & (mark < len(code) - 1)
-        outer[inner] = ~(_LETTER[np.minimum(code[mark[inner] - 1], 0xFFFF)] & _LETTER[np.minimum(code[mark[inner] + 1], 0xFFFF)])
-        mark = mark[outer]
         row_start = np.concatenate([[0], bounds[:-1]])[row]
         left = np.searchsorted(mark, s[hit]) - np.searchsorted(mark, np.maximum(row_start, s[np.maximum(hit - CONTEXT, 0)]))
         right = np.searchsorted(mark, np.minimum(e[np.minimum(hit + CONTEXT, len(e) - 1)], bounds[row])) - np.searchsorted(mark, e[hit])
-        quoted = (left % 2 == 1) & (right > 0)
+        return (left % 2 == 1) & (right > 0)
+
+    if len(loosely):
+        x[:, 6] = np.log1p(np.bincount(row_all[loosely[~in_quotes(loosely)]], minlength=n)[:n])
+    if len(hit):
+        row, quoted = row_all[hit], in_quotes(hit)
         near = np.searchsorted(hit, hit + CONTEXT, side="right") - np.searchsorted(hit, hit - CONTEXT) - 1
         for k, mask in enumerate((~quoted & (kind[hit] == 1), ~quoted & (kind[hit] == 2), quoted, ~quoted & (near > 0))):
             x[:, k] = np.log1p(np.bincount(row[mask], minlength=n)[:n])
@@ -229,8 +279,8 @@ def features(lexicon: Lexicon, texts: list[str]) -> np.ndarray:
 
 
 class ToxicityModel:
-    def __init__(self, lexicon: Lexicon, weights: np.ndarray | None, bias: float, constant: float | None = None) -> None:
-        self.lexicon, self.weights, self.bias, self.constant = lexicon, weights, bias, constant
+    def __init__(self, lexicon: Lexicon, weights: np.ndarray | None, bias: float, constant: float | None = None, loose: Loose | None = None) -> None:
+        self.lexicon, self.weights, self.bias, self.constant, self.loose = lexicon, weights, bias, constant, loose
 
     def scores(self, texts: list[str]) -> np.ndarray:
         if self.constant is not None:
@@ -241,7 +291,7 @@ class ToxicityModel:
             while b < len(texts) and (b == a or size + len(texts[b]) <= SLICE_CHARS):
                 size += len(texts[b])
                 b += 1
-            out[a:b] = 1 / (1 + np.exp(-np.clip(features(self.lexicon, texts[a:b]) @ self.weights + self.bias, -40, 40)))
+            out[a:b] = 1 / (1 + np.exp(-np.clip(features(self.lexicon, texts[a:b], self.loose) @ self.weights + self.bias, -40, 40)))
             a = b
         return out
 
@@ -251,14 +301,16 @@ def fit_texts(texts: list[str], labels: list[int]) -> ToxicityModel:
     if not len(y) or y.min() == y.max():
         return ToxicityModel(Lexicon([]), None, 0.0, float(y.mean()) if len(y) else 0.0)
     lexicon = Lexicon(learn_terms(texts, labels))
-    x = np.concatenate([features(lexicon, texts[i : i + 50]) for i in range(0, len(texts), 50)])
+    loose = Loose(lexicon.terms)
+    loose.learn(lexicon, [t for t, label in zip(texts, labels, strict=True) if not label])
+    x = np.concatenate([features(lexicon, texts[i : i + 50], loose) for i in range(0, len(texts), 50)])
     # Prior weights: a hit counts for, quotation counts against; learning moves away from them where the labels say so.
-    prior, w, b = np.array([2.0, 1.0, 0.2, 0.5, 2.0, 2.0]), np.array([2.0, 1.0, 0.2, 0.5, 2.0, 2.0]), -2.0
+    prior, w, b = np.array([2.0, 1.0, 0.2, 0.5, 2.0, 2.0, 0.5]), np.array([2.0, 1.0, 0.2, 0.5, 2.0, 2.0, 0.5]), -2.0
     for _ in range(400):
         p = 1 / (1 + np.exp(-np.clip(x @ w + b, -40, 40)))
         w = w - 0.5 * (x.T @ (p - y) / len(y) + 1e-3 * (w - prior))
         b = b - 0.5 * (p - y).mean()
-    return ToxicityModel(lexicon, w, float(b))
+    return ToxicityModel(lexicon, w, float(b), loose=loose)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
