@@ -210,6 +210,13 @@ def test_near_copies_of_loose_groups(spark):
     assert [got[i] for i in range(len(texts))] == root
 
 
+def test_near_copies_of_short_texts(spark):
+    pairs = [[f"w{i}x{k}" for k in range(9)] for i in range(400)]
+    rows = [(2 * i + k, " ".join(w[: 9 - k])) for i, w in enumerate(pairs) for k in range(2)]
+    got = order_minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r["class_id"] == r["doc_id"] // 2 * 2 for r in got) and len(got) == 800
+
+
 # 5, 7, 8 ------------------------------------------------------------------------------------
 
 

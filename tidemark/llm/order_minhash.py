@@ -20,6 +20,8 @@ known to be in many texts last, so a passage that many texts share makes few pai
 change the result. Pairs of a frequent k-mer are dealt out by salt. Groups are the connected
 components.
 
+Sketches of few k-mers agree too seldom, so texts of up to SHORT k-mers are always compared exactly.
+
 Edge cases: null and empty texts are one class of equal texts. A text of one to four words is one
 k-mer (it can only match an equal sequence of words). Repeated rows share their class. An
 empty table gives an empty result. Extra columns are kept by ``without_near_copies``.
@@ -42,6 +44,8 @@ WORDS = 5
 SKETCHES = 16
 PICKS = 4
 SIMILARITY = 0.8
+#: Texts of up to so many k-mers are compared with each other without sketches.
+SHORT = 80
 #: To know frequent k-mers: texts looked at, texts that have one at least, and most that are kept. The result does not depend on them.
 FREQUENT_TEXTS, FREQUENT_LEAST, FREQUENT_MOST = 4000, 8, 50_000
 #: Rows of a k-mer that meet in one task.
@@ -205,7 +209,8 @@ def groups(docs: DataFrame) -> DataFrame:
     buckets = texts.where("size > 0").select("uid", "size", F.posexplode("bands").alias("band", "h"))
     heads = buckets.groupBy("band", "h").agg(F.count("*").alias("m"), F.min(F.struct("uid", "size")).alias("x")).where("m > 1")
     found = cut(buckets.join(heads.select("band", "h", F.col("x.uid").alias("head"), F.col("x.size").alias("head_size")), ["band", "h"]))
-    wanted = found.select("uid").distinct()
+    short = texts.where(F.col("size").between(1, SHORT)).select("uid")
+    wanted = found.select("uid").unionByName(short).distinct()
     sequences = cut(rows.join(wanted, "uid").select("uid", "text").mapInArrow(_sequence_rows, "uid binary, seq binary").groupBy("uid").agg(F.min("seq").alias("seq")))
 
     def judged(asked: DataFrame) -> DataFrame:
@@ -235,7 +240,7 @@ def groups(docs: DataFrame) -> DataFrame:
         # Then every pair of the buckets that are not one component.
         placed = rooted(found.select("uid", "band", "h"), roots)
         contested = placed.groupBy("band", "h").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("band", "h")
-        members = placed.join(contested, ["band", "h"], "left_semi").select("uid").distinct()
+        members = placed.join(contested, ["band", "h"], "left_semi").select("uid").unionByName(short).distinct()
         pairs = cut(_candidates(rooted(sequences.join(members, "uid", "left_semi"), roots)))
         # One pair for each text and foreign component first: in a dense group that leaves few others.
         settle(pairs.groupBy("u", "rv").agg(F.min("v").alias("v")).select("u", "v"))
