@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import cut, small_plans
+from tidemark.llm._common import discard, small_plans, written
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -21,7 +21,7 @@ def components(edges: DataFrame) -> DataFrame:
     very many edges is no single group; each round ends in reliable storage.
     """
     with small_plans(edges.sparkSession):
-        now = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        now = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
         mark = None
         while True:
             both = _both(now)
@@ -30,8 +30,10 @@ def components(edges: DataFrame) -> DataFrame:
             # Small star: large-star edges point from the larger to the smaller node already.
             lower = large.groupBy("u").agg(F.min("v").alias("m"))
             small = large.join(lower, "u")
-            now = cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+            last = now
+            now = written(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
             new = now.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
+            discard(last)
             if mark == new:
                 break
             mark = new

@@ -3,28 +3,35 @@
 A text is the sequence of its five-word k-mers. Each of SKETCHES sketches takes the PICKS k-mers
 with the smallest hashes, every k-mer labelled with how often it occurred before (so repeats
 count), and keeps them in text order: two texts share a sketch only if they share k-mers *and*
-their order, which follows edit similarity. Texts that share a sketch are candidates.
+their order, which follows edit similarity. Texts that share a sketch are candidates. Sketches of
+few k-mers agree too seldom, so texts of up to SHORT k-mers get SHORT_SKETCHES more of two picks.
 
 A candidate pair is accepted if the banded alignment of the two k-mer sequences keeps 80 % of
 them: aligned / (n + m - aligned) >= 0.8, where ``aligned`` is the longest common subsequence
 within the band outside of which no such alignment exists. It never exceeds the Jaccard
-similarity of the k-mers and equals it where their order agrees.
-
-Equal texts are one class before anything else. In each bucket of a sketch all members are first
-verified against one representative, which joins most of a group at the cost of n comparisons,
-not n*n. Members of buckets that are not one component by then are compared exactly, whether joined
-already or not: similar texts must share one of the first 20 % + 1 of their k-mers in any fixed
-order, so texts that share such a k-mer, whose lengths and places of it allow the similarity and
-which are in different components are aligned, until no such pair is left. The order puts k-mers
-known to be in many texts last, so a passage that many texts share makes few pairs; it cannot
-change the result. Pairs of a frequent k-mer are dealt out by salt. Groups are the connected
-components.
-
-Sketches of few k-mers agree too seldom, so texts of up to SHORT k-mers are always compared exactly.
+similarity of the k-mers and equals it where their order agrees. (k-mers are compared by 32 bits
+of a hash.)
+
+Equal texts are one class before anything else. Every pair of texts in a bucket (texts of one
+sketch) is then joined, found to be in one component already, aligned, or excluded by a bound, without
+visiting all pairs of a large group:
+
+1. *Hub.* Each text of a bucket is aligned with the bucket's hub, the text whose buckets hold the
+   most texts. An original has the sketches of most of its copies, so it is the hub of its group.
+2. *Rare k-mers.* Similar texts share one of the first 20 % + 1 of their k-mers in any common
+   order; this orders them by the number of texts that have them, the rarest first. Texts of the
+   buckets that are still of several components meet on those k-mers of their prefix which are in
+   at most RARE of these texts, so a k-mer makes at most RARE * RARE / 2 pairs.
+3. *The rest.* Two texts that share no rare k-mer of their prefixes are similar only if what either
+   has of frequent k-mers allows it: min(n - rare_n, m - rare_m) >= 4/9 (n + m). That bounds the
+   size of a partner from above, for a loose copy usually below the size of the group's texts.
+   Texts of one bucket meet by bins of the size, and only pairs within the bound are aligned.
+
+Groups are the connected components.
 
 Edge cases: null and empty texts are one class of equal texts. A text of one to four words is one
 k-mer (it can only match an equal sequence of words). Repeated rows share their class. An
-empty table gives an empty result. Extra columns are kept by ``without_near_copies``.
+empty table gives an empty result. Extra columns, of any name, are kept by ``without_near_copies``.
 """
 
 from __future__ import annotations
@@ -33,26 +40,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm._bytes import binary_views, joined, mix64, powers, prefix_hash, slices, span_hash, words_of
-from tidemark.llm._common import bind_batches, cut, small_plans
+from tidemark.llm._common import bind_batches, discard, free_name, small_plans, written
 from tidemark.llm._graph import components
 
 WORDS = 5
 SKETCHES = 16
 PICKS = 4
 SIMILARITY = 0.8
-#: Texts of up to so many k-mers are compared with each other without sketches.
-SHORT = 80
-#: To know frequent k-mers: texts looked at, texts that have one at least, and most that are kept. The result does not depend on them.
-FREQUENT_TEXTS, FREQUENT_LEAST, FREQUENT_MOST = 4000, 8, 50_000
-#: Rows of a k-mer that meet in one task.
-SALT_ROWS = 512
+#: Texts of up to SHORT k-mers have SHORT_SKETCHES more sketches, of SHORT_PICKS.
+SHORT, SHORT_SKETCHES, SHORT_PICKS = 50, 8, 2
+#: A k-mer is rare if at most so many of the contested texts have it.
+RARE = 128
+#: Sizes of texts that differ by less than this factor are in one bin.
+BIN = 1.02
 
 _STEP = powers(0x9E3779B97F4A7C15, WORDS)
-_SEED = mix64(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
+_SEED = mix64(np.arange(1, SKETCHES + SHORT_SKETCHES + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
 
 
 def kmers(data: np.ndarray, offsets: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
@@ -73,39 +80,48 @@ def kmers(data: np.ndarray, offsets: np.ndarray, a: int, b: int) -> tuple[np.nda
     return mix64(total + np.minimum(n_words[row], WORDS).astype(np.uint64)), out_bounds
 
 
-def sketches(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """SKETCHES hashes (int64) of each row; zeros for rows without k-mers."""
-    n = len(bounds) - 1
-    out = np.zeros((n, SKETCHES), np.int64)
-    full = np.flatnonzero(np.diff(bounds) > 0)
-    if not len(full):
-        return out
-    row = np.repeat(np.arange(n), np.diff(bounds))
-    # Label each k-mer with the number of equal ones before it in its text.
+def repeats(hashes: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """For each k-mer the number of equal ones before it in its row."""
     key = mix64(hashes + mix64(row.astype(np.uint64)))
     order = np.argsort(key, kind="stable")
-    fresh = np.concatenate([[True], np.diff(key[order]) != 0])
+    fresh = np.concatenate([[True], np.diff(key[order]) != 0])[: len(key)]
     place = np.arange(len(key))
-    label = np.empty(len(key), np.uint64)
-    label[order] = (place - np.maximum.accumulate(np.where(fresh, place, 0))).astype(np.uint64)
-    x = mix64(hashes + label * np.uint64(0xA0761D6478BD642F))
-    bits = max(int(len(x)).bit_length(), 1)
-    low = np.uint64((1 << bits) - 1)
-    at = place.astype(np.uint64)
-    heads = bounds[full]
-    for k in range(SKETCHES):
-        v = ((x * _SEED[k]) & ~low) | at
-        picked = np.empty((PICKS, len(full)), np.int64)
-        for j in range(PICKS):
-            best = np.minimum.reduceat(v, heads)
-            none = best == ~np.uint64(0)
-            picked[j] = np.where(none, picked[j - 1] if j else 0, (best & low).astype(np.int64))
-            v[picked[j]] = ~np.uint64(0)
-        picked.sort(axis=0)
-        mixed = np.full(len(full), k + 1, np.uint64)
-        for j in range(PICKS):
-            mixed = mix64(mixed + hashes[picked[j]])
-        out[full, k] = mixed.view(np.int64)
+    out = np.empty(len(key), np.uint64)
+    out[order] = (place - np.maximum.accumulate(np.where(fresh, place, 0))).astype(np.uint64)
+    return out
+
+
+def labelled(hashes: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Hashes of k-mers together with their number of repeats, so that no row has one twice."""
+    return mix64(hashes + repeats(hashes, row) * np.uint64(0xA0761D6478BD642F))
+
+
+def sketches(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Hashes (int64) of the sketches of each row, the extra ones of short texts last; zeros where there is none."""
+    n = len(bounds) - 1
+    size = np.diff(bounds)
+    out = np.zeros((n, SKETCHES + SHORT_SKETCHES), np.int64)
+    x = labelled(hashes, np.repeat(np.arange(n), size))
+    for full, ks, picks in ((np.flatnonzero(size > 0), range(SKETCHES), PICKS), (np.flatnonzero((size > 0) & (size <= SHORT)), range(SKETCHES, SKETCHES + SHORT_SKETCHES), SHORT_PICKS)):
+        if not len(full):
+            continue
+        mine = np.repeat(bounds[full] - np.concatenate([[0], np.cumsum(size[full])[:-1]]), size[full]) + np.arange(int(size[full].sum()))
+        heads = np.concatenate([[0], np.cumsum(size[full])[:-1]])
+        low = np.uint64((1 << max(len(mine).bit_length(), 1)) - 1)
+        at, x_, h_ = np.arange(len(mine), dtype=np.uint64), x[mine], hashes[mine]
+        for k in ks:
+            v = ((x_ * _SEED[k]) & ~low) | at
+            picked = np.empty((picks, len(full)), np.int64)
+            for j in range(picks):
+                best = np.minimum.reduceat(v, heads)
+                none = best == ~np.uint64(0)
+                picked[j] = np.where(none, picked[j - 1] if j else 0, (best & low).astype(np.int64))
+                v[picked[j]] = ~np.uint64(0)
+            picked.sort(axis=0)
+            mixed = np.full(len(full), k + 1, np.uint64)
+            for j in range(picks):
+                mixed = mix64(mixed + h_[picked[j]])
+            out[full, k] = mixed.view(np.int64)
     return out
 
 
@@ -150,13 +166,14 @@ def aligned(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> flo
 def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = binary_views(batch.column("text"))
-        found, size = np.zeros((len(offsets) - 1, SKETCHES), np.int64), np.zeros(len(offsets) - 1, np.int32)
+        found, size = np.zeros((len(offsets) - 1, SKETCHES + SHORT_SKETCHES), np.int64), np.zeros(len(offsets) - 1, np.int32)
         for a, b in slices(offsets):
             hashes, bounds = kmers(data, offsets, a, b)
             found[a:b] = sketches(hashes, bounds)
             size[a:b] = np.diff(bounds)
-        flat = pa.array(found.ravel())
-        bands = pa.ListArray.from_arrays(pa.array(np.arange(0, SKETCHES * (len(found) + 1), SKETCHES, dtype=np.int32)), flat)
+        many = np.where(size > SHORT, SKETCHES, np.where(size > 0, SKETCHES + SHORT_SKETCHES, 0))
+        has = np.arange(SKETCHES + SHORT_SKETCHES) < many[:, None]
+        bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32)), pa.array(found[has]))
         yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("doc_id"), pa.array(size), bands], ["uid", "doc_id", "size", "bands"])
 
 
@@ -168,34 +185,29 @@ def _sequence_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             h, bounds = kmers(data, offsets, a, b)
             raw = (h >> np.uint64(32)).astype(np.uint32).tobytes()
             out += [raw[4 * i : 4 * j] for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.array(out, pa.binary())], ["uid", "seq"])
+        yield pa.RecordBatch.from_arrays([batch.column("num"), pa.array(out, pa.binary())], ["num", "seq"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-        ok = [aligned(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) > 0 for x, y in zip(a, b, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(ok, pa.bool_())], ["u", "v", "ok"])
+        ok = pa.array([aligned(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) > 0 for x, y in zip(a, b, strict=True)], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column("u").filter(ok), batch.column("v").filter(ok)], ["u", "v"])
 
 
-def _kmer_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each labelled k-mer of each text."""
     for batch in batches:
-        each = [np.unique(np.frombuffer(x, np.uint32)) for x in batch.column("seq").to_pylist()]
-        k, n = np.unique(np.concatenate([np.zeros(0, np.uint32), *each]), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int64)), pa.array(n.astype(np.int64))], ["k", "n"])
-
-
-def prefix(seq: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """The k-mers of a text, labelled with their repeats, of which any text of SIMILARITY shares one; in the common order."""
-    order = np.argsort(seq, kind="stable")
-    fresh = np.concatenate([[True], np.diff(seq[order].astype(np.int64)) != 0])
-    place = np.arange(len(seq))
-    label = (place - np.maximum.accumulate(np.where(fresh, place, 0))).astype(np.uint64)
-    sorted_ = seq[order].astype(np.uint64)
-    x = mix64(sorted_ + label * np.uint64(0xA0761D6478BD642F)) >> np.uint64(1)
-    common = np.isin(sorted_, frequent)
-    need = int(np.ceil(SIMILARITY * len(seq) - 1e-9))
-    return x[np.lexsort((x, common))[: len(seq) - need + 1]].view(np.int64)
+        seqs = [np.frombuffer(x, np.uint32) for x in batch.column("seq").to_pylist()]
+        long = np.array([len(x) for x in seqs], np.int64)
+        ends = np.cumsum(long)
+        lo = 0
+        while lo < len(seqs):  # at most a million k-mers at a time, or one text
+            hi = max(int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + (1 << 20), side="right")), lo + 1)
+            row = np.repeat(np.arange(lo, hi), long[lo:hi])
+            token = labelled(np.concatenate(seqs[lo:hi]).astype(np.uint64), row)
+            yield pa.RecordBatch.from_arrays([batch.column("num").take(pa.array(row)), pa.array(long[row].astype(np.int32)), pa.array(token.view(np.int64))], ["num", "size", "token"])
+            lo = hi
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -204,98 +216,119 @@ def groups(docs: DataFrame) -> DataFrame:
     bind_batches(spark, 1000)
     rows = docs.select(F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("uid"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sketched = cut(rows.mapInArrow(_sketch_rows, f"uid binary, doc_id {kind}, size int, bands array<long>"))
+    sketched = written(rows.mapInArrow(_sketch_rows, f"uid binary, doc_id {kind}, size int, bands array<long>"))
     texts = sketched.groupBy("uid").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("times"), F.min("size").alias("size"), F.min("bands").alias("bands"))
-    buckets = texts.where("size > 0").select("uid", "size", F.posexplode("bands").alias("band", "h"))
-    heads = buckets.groupBy("band", "h").agg(F.count("*").alias("m"), F.min(F.struct("uid", "size")).alias("x")).where("m > 1")
-    found = cut(buckets.join(heads.select("band", "h", F.col("x.uid").alias("head"), F.col("x.size").alias("head_size")), ["band", "h"]))
-    short = texts.where(F.col("size").between(1, SHORT)).select("uid")
-    wanted = found.select("uid").unionByName(short).distinct()
-    sequences = cut(rows.join(wanted, "uid").select("uid", "text").mapInArrow(_sequence_rows, "uid binary, seq binary").groupBy("uid").agg(F.min("seq").alias("seq")))
-
-    def judged(asked: DataFrame) -> DataFrame:
-        one = sequences.select(F.col("uid").alias("u"), F.col("seq").alias("a"))
-        two = sequences.select(F.col("uid").alias("v"), F.col("seq").alias("b"))
-        return cut(asked.join(one, "u").join(two, "v").select("u", "v", "a", "b").mapInArrow(_verified, "u binary, v binary, ok boolean"))
-
-    def rooted(of: DataFrame, roots: DataFrame) -> DataFrame:
-        return of.join(roots.select(F.col("node").alias("uid"), "root"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
-
-    with small_plans(spark, found.count()):
-        # First each text against its smallest representative only, then against the others that it is not joined with.
-        fits = (F.col("uid") != F.col("head")) & (F.least("size", "head_size") >= SIMILARITY * F.greatest("size", "head_size"))
-        pair = [F.greatest("uid", "head").alias("u"), F.least("uid", "head").alias("v")]
-        known = judged(found.where(fits).groupBy("uid").agg(F.min("head").alias("head")).select(*pair).distinct())
-        roots = components(known.where("ok").select("u", "v"))
-
-        def settle(asked: DataFrame) -> None:
-            nonlocal known, roots
-            new = judged(_apart(asked.join(known.select("u", "v"), ["u", "v"], "left_anti"), roots, "u", "v").where("apart").select("u", "v"))
-            if not new.isEmpty():
-                known = cut(known.unionByName(new))
-                if not new.where("ok").isEmpty():
-                    roots = components(known.where("ok").select("u", "v"))
-
-        settle(found.where(fits).select(*pair).distinct())
-        # Then every pair of the buckets that are not one component.
-        placed = rooted(found.select("uid", "band", "h"), roots)
-        contested = placed.groupBy("band", "h").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("band", "h")
-        members = placed.join(contested, ["band", "h"], "left_semi").select("uid").unionByName(short).distinct()
-        pairs = cut(_candidates(rooted(sequences.join(members, "uid", "left_semi"), roots)))
-        # One pair for each text and foreign component first: in a dense group that leaves few others.
-        settle(pairs.groupBy("u", "rv").agg(F.min("v").alias("v")).select("u", "v"))
-        settle(pairs.select("u", "v"))
-    labels = texts.join(roots.select(F.col("node").alias("uid"), "root"), "uid", "left").select("uid", "first_id", "times", F.coalesce("root", "uid").alias("root"))
+    texts = written(texts.withColumn("num", F.monotonically_increasing_id()))  # numbered once: the table is read from here on
+    place = _components(rows, texts)
+    labels = texts.select("uid", "num", "first_id", "times").join(place, "num", "left").withColumn("root", F.coalesce("root", "num"))
     classes = labels.groupBy("root").agg(F.min("first_id").alias("class_id"), F.sum("times").alias("group_rows"))
     of_text = labels.join(classes, "root").select("uid", "class_id", "group_rows")
     return sketched.select("uid", "doc_id").join(of_text, "uid")
 
 
-def _candidates(texts: DataFrame) -> DataFrame:
-    """u, v, rv (component of v): all pairs of ``texts`` (uid, seq, root) that may be similar and are in different components."""
-    texts = cut(texts)
-    share = FREQUENT_TEXTS / max(texts.count(), 1)
-    some = texts.where(F.pmod(F.xxhash64("uid"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1)).select("seq")
-    counts = some.mapInArrow(_kmer_counts, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT_LEAST)
-    frequent = np.array([r["k"] for r in counts.orderBy(F.desc("n"), "k").limit(FREQUENT_MOST).collect()], np.uint64)
-
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seqs = [np.frombuffer(x, np.uint32) for x in batch.column("seq").to_pylist()]
-            each = [prefix(x, frequent) for x in seqs]
-            long = [len(x) for x in each]
-            row = pa.array(np.repeat(np.arange(len(each)), long))
-            place = np.concatenate([np.zeros(0, np.int64), *[np.arange(n) for n in long]]).astype(np.int32)
-            size = pa.array([len(x) for x in seqs], pa.int32()).take(row)
-            token = pa.array(np.concatenate([np.zeros(0, np.int64), *each]))
-            yield pa.RecordBatch.from_arrays([batch.column("uid").take(row), batch.column("root").take(row), size, pa.array(place), token], ["uid", "root", "size", "place", "token"])
-
-    tokens = texts.mapInArrow(prefixes, "uid binary, root binary, size int, place int, token long")
-    sums = tokens.groupBy("token", "root").agg(F.count("*").alias("n"))
-    # The largest component of a k-mer needs no pairs within; the others meet all.
-    of_token = sums.groupBy("token").agg(F.count("*").alias("roots"), F.sum("n").alias("m"), F.max(F.struct("n", "root")).alias("x")).where("roots > 1")
-    parts = F.ceil(F.col("m") / SALT_ROWS).cast("int")
-    tokens = cut(tokens.join(of_token.select("token", parts.alias("parts"), F.col("x.root").alias("main")), "token"))
-    left = tokens.where("root != main").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    right = tokens.withColumn("salt", F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int"))
-    names = ["uid", "root", "size", "place"]
-    left = left.select("token", "salt", *[F.col(c).alias(f"{c}_a") for c in names])
-    right = right.select("token", "salt", "main", *[F.col(c).alias(f"{c}_b") for c in names])
-    # k-mers that can be shared: those before the common one, it, and those after it.
-    most = F.least("place_a", "place_b") + F.lit(1) + F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b")) - F.lit(1)
-    may = (F.col("root_a") != F.col("root_b")) & (most >= F.lit(SIMILARITY / (1 + SIMILARITY)) * (F.col("size_a") + F.col("size_b")) - F.lit(1e-6))
-    met = left.join(right, ["token", "salt"]).where(may)
-    first = F.col("uid_a") > F.col("uid_b")
-    pick = lambda c, large: F.when(first == F.lit(large), F.col(f"{c}_a")).otherwise(F.col(f"{c}_b"))
-    return met.select(pick("uid", True).alias("u"), pick("uid", False).alias("v"), pick("root", False).alias("rv")).distinct()
-
-
-def _apart(pairs: DataFrame, roots: DataFrame, a: str, b: str) -> DataFrame:
-    """``pairs`` with ``apart``: whether the two differ and are in different components so far."""
-    left = roots.select(F.col("node").alias(a), F.col("root").alias("_ra"))
-    right = roots.select(F.col("node").alias(b), F.col("root").alias("_rb"))
-    out = pairs.join(left, a, "left").join(right, b, "left")
-    return out.withColumn("apart", (F.col(a) != F.col(b)) & ~F.coalesce(F.col("_ra") == F.col("_rb"), F.lit(False))).drop("_ra", "_rb")
+def _components(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """(num, root) of the texts that share a sketch with another, root being the smallest num of the component."""
+    spark = rows.sparkSession
+    buckets = texts.select("num", "size", F.explode("bands").alias("h"))
+    several = buckets.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
+    found = written(buckets.join(several, "h"))
+    wanted = found.select("num").distinct().join(texts.select("num", "uid", "first_id"), "num")
+    chosen = rows.join(wanted, (rows["uid"] == wanted["uid"]) & rows["doc_id"].eqNullSafe(wanted["first_id"])).select("num", "text")
+    # One row of each text; the same id may repeat with the same text.
+    sequences = written(chosen.mapInArrow(_sequence_rows, "num long, seq binary").groupBy("num").agg(F.min("seq").alias("seq")))
+
+    def settle(place: DataFrame, asked: DataFrame) -> DataFrame:
+        """``place`` after aligning the pairs ``asked`` (u, v)."""
+        one = sequences.select(F.col("num").alias("u"), F.col("seq").alias("a"))
+        two = sequences.select(F.col("num").alias("v"), F.col("seq").alias("b"))
+        links = asked.join(one, "u").join(two, "v").select("u", "v", "a", "b").mapInArrow(_verified, "u long, v long")
+        ends = links.join(place.select(F.col("num").alias("u"), F.col("root").alias("ru")), "u").join(place.select(F.col("num").alias("v"), F.col("root").alias("rv")), "v")
+        joins = written(ends.where("ru <> rv").select(F.col("ru").alias("u"), F.col("rv").alias("v")).distinct())
+        if joins.isEmpty():
+            return place
+        roots = components(joins).select(F.col("node").alias("root"), F.col("root").alias("now"))
+        new = written(place.join(roots, "root", "left").select("num", "size", F.coalesce("now", "root").alias("root")))
+        discard(place, joins)
+        return new
+
+    def contested(place: DataFrame) -> DataFrame:
+        """h, num, size, root of the texts of buckets that are not one component."""
+        placed = found.select("h", "num").join(place, "num")
+        mixed = placed.groupBy("h").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("h")
+        return placed.join(mixed, "h", "left_semi")
+
+    with small_plans(spark, found.count()):
+        place = written(found.select("num", "size").distinct().withColumn("root", F.col("num")))
+        weight = found.groupBy("num").agg(F.sum("m").alias("weight"))
+        ranked = found.select("h", "num", "size").join(weight, "num")
+        hubs = ranked.groupBy("h").agg(F.max(F.struct("weight", "num", "size")).alias("hub")).select("h", F.col("hub.num").alias("v"), F.col("hub.size").alias("v_size"))
+        star = found.select("h", F.col("num").alias("u"), "size").join(hubs, "h").where((F.col("u") != F.col("v")) & _sizes_fit(F.col("size"), F.col("v_size")))
+        place = settle(place, star.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        open_ = contested(place).select("num", "root").distinct()
+        known = written(_rarity(sequences.join(open_, "num")).join(open_, "num"))
+        place = settle(place, _rare_pairs(known))
+        place = settle(place, _frequent_pairs(contested(place).join(known.select("num", "rare"), "num")))
+    return place.select("num", "root")
+
+
+def _sizes_fit(n: Column, m: Column) -> Column:
+    return F.least(n, m) >= SIMILARITY * F.greatest(n, m)
+
+
+def _overlap_needed(n: Column, m: Column) -> Column:
+    """k-mers that two texts of n and m must have in common, less what rounding may take."""
+    return F.lit(SIMILARITY / (1 + SIMILARITY)) * (n + m) - F.lit(1e-6)
+
+
+def _rarity(sequences: DataFrame) -> DataFrame:
+    """num, size, rare (number of rare k-mers), first (k-mers that no other text has), prefix (its other rare k-mers, in order)."""
+    tokens = sequences.select("num", "seq").mapInArrow(_token_rows, "num long, size int, token long")
+    spread = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    shared = tokens.join(spread, "token")
+    each = shared.groupBy("num", "size").agg(
+        F.count("*").alias("common"),
+        F.count_if(F.col("n") > RARE).alias("frequent"),
+        F.collect_list(F.when(F.col("n") <= RARE, F.struct("n", "token"))).alias("few"),  # of one text: bounded by its length
+    )
+    first = (F.col("size") - F.col("common")).cast("int")
+    left = F.floor(F.col("size") * F.lit(1 - SIMILARITY) + F.lit(1e-9)).cast("int") + 1 - first
+    return each.select("num", "size", (F.col("size") - F.col("frequent")).cast("int").alias("rare"), first.alias("first"), F.slice(F.sort_array("few"), F.lit(1), F.greatest(left, F.lit(0))).getField("token").alias("prefix"))
+
+
+def _rare_pairs(known: DataFrame) -> DataFrame:
+    """u, v: texts of different components that share a rare k-mer of their prefixes and may be similar."""
+    tokens = known.select("num", "size", "root", "first", F.posexplode("prefix").alias("at", "token"))
+    a, b = (tokens.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("num", "size", "root", "first", "at")]) for x in "ab")
+    # Shared k-mers: some of those before this one, it, and some of those after it; none of the texts' own.
+    after = lambda x: F.col(f"size_{x}") - F.col(f"first_{x}") - F.col(f"at_{x}") - 1
+    most = F.least("at_a", "at_b") + 1 + F.least(after("a"), after("b"))
+    may = (F.col("num_a") > F.col("num_b")) & (F.col("root_a") != F.col("root_b")) & (most >= _overlap_needed(F.col("size_a"), F.col("size_b")))
+    return a.join(b, (a["token"] == b["token"]) & may).select(F.col("num_a").alias("u"), F.col("num_b").alias("v")).distinct()
+
+
+def _bin(size: Column) -> Column:
+    return F.floor(F.log(size.cast("double")) / F.lit(float(np.log(BIN)))).cast("int")
+
+
+def _frequent_pairs(members: DataFrame) -> DataFrame:
+    """u, v: texts of one bucket and different components that may be similar without a rare k-mer in common."""
+    n, rare = F.col("size"), F.col("rare")
+    # A partner of m has 4/9 (n + m) k-mers in common, which are frequent ones of both.
+    most = F.least(n / F.lit(SIMILARITY), (n - rare) * F.lit((1 + SIMILARITY) / SIMILARITY) - n) + F.lit(1e-6)
+    live = members.where(rare <= F.floor(n * F.lit(1 - SIMILARITY) + F.lit(1e-9))).withColumn("most", most).where(F.col("most") >= n * SIMILARITY)
+    sums = live.groupBy("h", "root").agg(F.count("*").alias("k"))
+    main = sums.groupBy("h").agg(F.max(F.struct("k", "root")).alias("x"), F.count("*").alias("roots")).where("roots > 1").select("h", F.col("x.root").alias("main"))
+    live = written(live.join(main, "h"))
+    # The largest component of a bucket needs no pairs within; texts of the others look for partners.
+    least = F.ceil(n * F.lit(SIMILARITY) - F.lit(1e-6))
+    seek = live.where((F.col("root") != F.col("main")) & (F.floor("most") >= least)).withColumn("bin", F.explode(F.sequence(_bin(least), _bin(F.floor("most")))))
+    names = ["num", "size", "root", "most"]
+    a = seek.select("h", "bin", *[F.col(c).alias(f"{c}_a") for c in names])
+    b = live.select("h", _bin(n).alias("bin"), "main", *[F.col(c).alias(f"{c}_b") for c in names])
+    once = (F.col("root_b") == F.col("main")) | (F.col("num_a") > F.col("num_b"))
+    may = (F.col("root_a") != F.col("root_b")) & once & (F.col("size_b") <= F.col("most_a")) & (F.col("size_a") <= F.col("most_b"))
+    met = a.join(b, (a["h"] == b["h"]) & (a["bin"] == b["bin"]) & may)
+    return met.select(F.greatest("num_a", "num_b").alias("u"), F.least("num_a", "num_b").alias("v")).distinct()
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -306,9 +339,11 @@ def classes(docs: DataFrame) -> DataFrame:
 def without_near_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group: that of the smallest id (of rows that repeat it, one)."""
     names = docs.columns
-    labelled = groups(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    chosen = labelled.groupBy(F.col("class_id").alias("_class")).agg(F.min("uid").alias("_uid"), F.count("*").alias("_n"))
-    mine = docs.withColumn("_u", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
-    kept = mine.join(chosen, (F.col("_u") == F.col("_uid")) & F.col("doc_id").eqNullSafe(F.col("_class")))
-    once = kept.where("_n = 1").select(*names)
-    return once.unionByName(kept.where("_n > 1").dropDuplicates(["_uid", "_class"]).select(*names))
+    key, size = free_name(docs, "key"), free_name(docs, "rows")
+    labelled_ = groups(docs.select("doc_id", "text")).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
+    # Rows of one group and id may differ in text; the smallest hash of it is kept.
+    chosen = labelled_.groupBy("class_id").agg(F.min(F.struct("uid")).alias("x"), F.count("*").alias("n")).select(F.struct("x.uid", "class_id").alias(key), F.col("n").alias(size))
+    mine = docs.withColumn(key, F.struct(F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("uid"), F.col("doc_id").alias("class_id")))
+    kept = mine.join(chosen, mine[key].eqNullSafe(chosen[key])).select(*[mine[c] for c in names], mine[key], size)
+    once = kept.where(F.col(size) == 1).select(*names)
+    return once.unionByName(kept.where(F.col(size) > 1).dropDuplicates([key]).select(*names))
