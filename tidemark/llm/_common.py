@@ -67,6 +67,10 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bytes of an Arrow batch beyond which Spark starts the next.
+BATCH_BYTES = 32 << 20
+
+
 def written(df: DataFrame) -> DataFrame:
     """As ``cut``, but as a compressed table in the checkpoint's folder: a third of the disk; ``discard`` removes it."""
     spark = df.sparkSession
@@ -95,8 +99,12 @@ def free_name(df: DataFrame, name: str) -> str:
 
 
 def bind_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Small Arrow batches: a batch of long texts must fit beside the JVM on an executor."""
+    """Small Arrow batches: a batch of long texts must fit beside the JVM on an executor.
+
+    The settings stay: the plans that need them run after the operator has returned.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 #: Rows of a small table that one shuffle partition takes inside ``small_plans``.

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._bytes import binary_views, joined, prefix_hash, slices, span_hash, words_of
+from tidemark.llm._bytes import SLICE_BYTES, binary_views, joined, prefix_hash, slices, span_hash, words_of
 from tidemark.llm._common import bind_batches, held_out, labelled_sample
 
 PASSAGE = 512
@@ -169,8 +169,13 @@ def fit_texts(texts: list[str], labels: list[int]) -> GatedAttention:
     offsets = np.concatenate([[0], np.cumsum([len(b) for b in raw])]).astype(np.int64)
     if not raw:
         return GatedAttention().train(np.zeros((0, N_FEATURES)), np.zeros(0, int), np.zeros(0))
-    x, row = encode(np.frombuffer(b"".join(raw), dtype=np.uint8), offsets)
-    return GatedAttention().train(x, row, np.array(labels, dtype=float))
+    parts, rows = [], []
+    for a, b in slices(offsets, SLICE_BYTES // 4):  # the driver has less memory than a worker
+        x, row = encode(np.frombuffer(b"".join(raw[a:b]), dtype=np.uint8), offsets[a : b + 1] - offsets[a])
+        parts.append(x)
+        rows.append(row + a)
+    del raw
+    return GatedAttention().train(np.concatenate(parts), np.concatenate(rows), np.array(labels, dtype=float))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> GatedAttention:
@@ -187,9 +192,16 @@ def score_columns(model: GatedAttention, text: pa.Array) -> np.ndarray:
 
 
 def _long(model: GatedAttention, data: np.ndarray, lo: int, hi: int, most: int = PASSAGE * 4096) -> np.ndarray:
-    """Score of one text; passages of a very long one are encoded a part at a time."""
-    parts = [encode(data[i : min(i + most, hi)], np.array([0, min(i + most, hi) - i])) for i in range(lo, max(hi, lo + 1), most)]
-    x = np.concatenate([p[0] for p in parts])
+    """Score of one text; a very long one is encoded a part at a time, with a passage of its neighbours on either side."""
+    parts = []
+    for i in range(lo, max(hi, lo + 1), most):
+        if i > lo and hi - i < PASSAGE:
+            break  # joined to the passage before it
+        a, b = max(i - PASSAGE, lo), min(i + most + PASSAGE, hi)
+        b = hi if hi - b < PASSAGE else b
+        x, _ = encode(data[a:b], np.array([0, b - a]))
+        parts.append(x[int(i > a) : int(i > a) + most // PASSAGE])
+    x = np.concatenate(parts)
     return model.scores(x, np.zeros(len(x), int), 1)
 
 

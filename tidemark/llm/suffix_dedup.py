@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm._bytes import SLICE_BYTES, binary_views, mix64, prefix_hash, slices, span_hash
-from tidemark.llm._common import bind_batches, cut, written
+from tidemark.llm._common import bind_batches, written
 
 LENGTH = 400
 GRAM = 128
@@ -297,7 +297,7 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     several = contexts.groupBy("a").agg(F.count("*").alias("m")).where("m > 1")
     contested = contexts.join(several, "a").select("k1", "k2", F.struct("a", "c", "lo", "n", "place", (F.col("m") > HOT).alias("hot")).alias("x"))
     lists = contested.groupBy("k1", "k2").agg(F.collect_list("x").alias("wanted"))  # of one text: bounded by its length
-    parts = cut(texts.join(lists, ["k1", "k2"]).select("text", "wanted").mapInArrow(_context_rows, _CONTEXT))
+    parts = written(texts.join(lists, ["k1", "k2"]).select("text", "wanted").mapInArrow(_context_rows, _CONTEXT))
     solved = parts.where("text is not null").select("a", "c", "n", "place", "text").repartition("a").sortWithinPartitions("a", "c").mapInArrow(_transform_rows, "a long, c long, runs array<int>")
     single = parts.where("text is null").select("a", "c", "place", F.posexplode("windows").alias("w", "h")).withColumn("o", F.col("place") - F.col("w"))
     twice = single.groupBy("a", "o", "h").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("a", "o", "h")
