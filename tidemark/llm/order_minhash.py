@@ -257,15 +257,17 @@ def _components(rows: DataFrame, texts: DataFrame) -> DataFrame:
         mixed = placed.groupBy("h").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("h")
         return placed.join(mixed, "h", "left_semi")
 
-    with small_plans(spark, found.count()):
+    many = found.count()
+    with small_plans(spark, many):
         place = written(found.select("num", "size").distinct().withColumn("root", F.col("num")))
         weight = found.groupBy("num").agg(F.sum("m").alias("weight"))
         ranked = found.select("h", "num", "size").join(weight, "num")
         hubs = ranked.groupBy("h").agg(F.max(F.struct("weight", "num", "size")).alias("hub")).select("h", F.col("hub.num").alias("v"), F.col("hub.size").alias("v_size"))
         star = found.select("h", F.col("num").alias("u"), "size").join(hubs, "h").where((F.col("u") != F.col("v")) & _sizes_fit(F.col("size"), F.col("v_size")))
         place = settle(place, star.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-        open_ = contested(place).select("num", "root").distinct()
-        known = written(_rarity(sequences.join(open_, "num")).join(open_, "num"))
+        open_ = written(contested(place).select("num", "root").distinct())
+    known = written(_rarity(sequences.join(open_, "num")).join(open_, "num"))  # by k-mers: over all partitions
+    with small_plans(spark, many):
         place = settle(place, _rare_pairs(known))
         place = settle(place, _frequent_pairs(contested(place).join(known.select("num", "rare"), "num")))
     return place.select("num", "root")
