@@ -263,14 +263,17 @@ def features(lexicon: Lexicon, texts: list[str], loose: Loose | None = None) ->
         row = row_all[hit]
         row_start = np.concatenate([[0], bounds[:-1]])[row]
         left = np.searchsorted(mark, s[hit]) - np.searchsorted(mark, np.maximum(row_start, s[np.maximum(hit - CONTEXT, 0)]))
-        right = np.searchsorted(mark, np.minimum(e[np.minimum(hit + CONTEXT, len(e) - 1)], bounds[row])) - np.searchsorted(mark, e[hit])
+        after = np.append(e, len(code))[np.minimum(hit + CONTEXT, len(e))]
+        right = np.searchsorted(mark, np.minimum(after, bounds[row])) - np.searchsorted(mark, e[hit])
         return (left % 2 == 1) & (right > 0)
 
     if len(loosely):
         x[:, 6] = np.log1p(np.bincount(row_all[loosely[~in_quotes(loosely)]], minlength=n)[:n])
     if len(hit):
         row, quoted = row_all[hit], in_quotes(hit)
-        near = np.searchsorted(hit, hit + CONTEXT, side="right") - np.searchsorted(hit, hit - CONTEXT) - 1
+        # Hits of other texts of the batch do not count.
+        first, last = np.searchsorted(row, row), np.searchsorted(row, row, side="right")
+        near = np.minimum(np.searchsorted(hit, hit + CONTEXT, side="right"), last) - np.maximum(np.searchsorted(hit, hit - CONTEXT), first) - 1
         for k, mask in enumerate((~quoted & (kind[hit] == 1), ~quoted & (kind[hit] == 2), quoted, ~quoted & (near > 0))):
             x[:, k] = np.log1p(np.bincount(row[mask], minlength=n)[:n])
         x[:, 4] = np.sqrt(np.bincount(row[~quoted], minlength=n)[:n] / np.maximum(total, 1))
