@@ -33,7 +33,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int =
 
     Rows are taken in the order of a hash of the id, so the choice is repeatable and does not
     follow the order of the table. Texts longer than ``chars`` are left out of the *sample*
-    (they are scored whole like all others). Conflicting labels of one id: the smallest.
+    (they are scored whole like all others). Conflicting labels or texts of one id: the smallest.
     """
     known = (
         labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_y"))
@@ -49,7 +49,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int =
         docs.select(F.col("doc_id").alias("_id"), "text")
         .where(F.length("text") <= chars)
         .join(F.broadcast(chosen), "_id")  # bounded by ``rows``
-        .select("text", F.col("_y").alias("label"), "_rank", "_id")
+        .groupBy("_id", "_rank", F.col("_y").alias("label"))
+        .agg(F.min("text").alias("text"))  # one text of an id, however often the id repeats
     )
 
 

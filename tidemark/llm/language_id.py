@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm._bytes import SLICE_BYTES, binary_views, slices
@@ -141,23 +141,19 @@ class ByteCnn:
 
 
 def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> ByteCnn | None:
-    """A network for every language of rows outside fold 2 of 4.
+    """A network for every language of rows outside fold 2 of 4 that has a text of at most ``chars`` characters.
 
-    The sample has at most ``rows`` rows of each language, in the order of a hash of the id and
-    of at most ``chars`` characters each; ids are chosen first, without reading texts.
+    The sample has at most ``rows`` ids of each language, the first in the order of a hash of the
+    id (of rows that share id and language one), and SAMPLE_WINDOWS windows of each text.
     """
     known = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0) & (fold("doc_id", 4) != 2))
-    ids = known.where(F.length("text") <= chars).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), F.xxhash64("doc_id").alias("_rank"))
-    languages = sorted(r[0] for r in known.select("lang").distinct().collect())
-    if not languages:
-        return None
-    chosen = None
-    for name in languages:
-        part = ids.where(F.col("_lang") == name).dropDuplicates(["_id"]).orderBy("_rank", "_id").limit(rows)
-        chosen = part if chosen is None else chosen.unionAll(part)
-    on = (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))
-    got = known.where(F.length("text") <= chars).join(F.broadcast(chosen), on).select("_rank", "text", "lang").collect()  # bounded
-    found = [(r["text"], languages.index(r["lang"])) for r in sorted(got, key=lambda r: (r["_rank"], r["text"]))]
+    known = known.where(F.length("text") <= chars).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), F.xxhash64("doc_id").alias("_rank"), "text")
+    # One scan for the ids: every task keeps only the first ranks of each language before they are shuffled.
+    order = Window.partitionBy("_lang").orderBy("_rank", "_id")
+    chosen = known.select("_id", "_lang", "_rank").withColumn("_n", F.dense_rank().over(order)).where(F.col("_n") <= rows).select("_id", "_lang").distinct()
+    got = known.join(F.broadcast(chosen), ["_id", "_lang"]).groupBy("_rank", "_id", "_lang").agg(F.min("text").alias("text")).collect()  # ``rows`` of each language at most
+    languages = sorted({r["_lang"] for r in got})
+    found = [(r["text"], languages.index(r["_lang"])) for r in sorted(got, key=lambda r: (r["_rank"], r["_id"], r["text"]))]
     if not found:
         return None
     rng = np.random.default_rng(3)
