@@ -284,6 +284,18 @@ def test_toxicity(docs, none):
     assert toxicity.predict(docs, model).count() == docs.count() and toxicity.predict(none, model).count() == 0
 
 
+def test_toxicity_of_a_text_does_not_depend_on_its_neighbours():
+    rng = random.Random(4)
+    clean = [prose(rng, 80) for _ in range(60)]
+    toxic = [f"{prose(rng, 30)} {rng.choice(['pathetic', 'worthless'])} {rng.choice(['moron', 'scum'])} {prose(rng, 30)}" for _ in range(40)]
+    model = toxicity.fit_texts(clean + toxic, [0] * 60 + [1] * 40)
+    some = ["you are scum", "moron and scum", 'they said "you scum"', "", "pathetic", 'he is a "moron"', "no", "scum"]
+    alone = [model.scores([t])[0] for t in some]
+    for _ in range(5):
+        order = rng.sample(range(len(some)), len(some))
+        assert model.scores([some[i] for i in order]).tolist() == pytest.approx([alone[i] for i in order], abs=1e-12)
+
+
 def test_misspelt_short_words_and_stems():
     rng = random.Random(6)
     clean = [f"{prose(rng, 60)} {'idiom' if i % 3 else 'union'} {prose(rng, 5)}" for i in range(100)]
@@ -387,5 +399,16 @@ def test_audit_without_links_is_no_evidence(own):
         q = rng.normal(size=(700, 16))
         q[501] = x[17]
         q /= np.linalg.norm(q, axis=1, keepdims=True)
-    u, v, _ = hnsw.links(Blind(), x, q, **({} if own is None else {"own": own}))
-    assert (501, 17) in set(zip(u.tolist(), v.tolist(), strict=True))
+    audits = []
+    found = {(a, b) for u, v in hnsw.links(Blind(), x, q, own=own, audits=audits) for a, b in zip(u.tolist(), v.tolist(), strict=True)}
+    assert (501, 17) in found and audits[0] >= hnsw.PLANTED
+
+
+def test_graph_finds_planted_links():
+    x = np.random.default_rng(5).normal(size=(3000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    nodes, q = hnsw.planted(x, 200, 0.95)
+    assert np.allclose((q * x[nodes]).sum(axis=1), 0.951) and np.allclose(np.linalg.norm(q, axis=1), 1)
+    audits = []
+    found = {(a, b) for u, v in hnsw.links(hnsw.Graph(x), x, q, audits=audits) for a, b in zip(u.tolist(), v.tolist(), strict=True)}
+    assert sum((i, n) in found for i, n in enumerate(nodes.tolist())) >= 0.95 * len(nodes) and 0.98 <= audits[1] / audits[0] <= 1

@@ -1,14 +1,17 @@
 """Embedding near-dedup with hierarchical navigable small-world graphs, one for each shard.
 
 Equal vectors are one class. Classes are dealt to shards of about SHARD_ROWS; each shard builds
-its graph in one task. Every class then queries every shard, a block of queries at a time, all
-beams of a block in step. In each (block, shard) task a sample of the queries is audited
-against an exact scan, which goes on until it has met AUDIT_LINKS true links of other vectors; the
-beam is widened until the audit finds RECALL of them. Where links are so few that the scan ends
-first, it is the answer of the whole block. A query whose beam is half full of links may have more
-than fit, so it is answered by an exact scan of that shard. Every link is verified by its cosine in double
-precision. Tasks return sums of links for each vector and a spanning forest of their links, both
-linear in the vectors they saw, never all pairs of a dense group.
+its graph in one task. Every class then queries every shard, BLOCK_ROWS queries to a task, all
+beams of a step together. Each (block, shard) task audits its beams before it uses them: on queries
+planted at just COSINE from known nodes, so that no audit is without true links, and on a sample
+of its own queries, answered by an exact scan. The beam is widened until both audits find RECALL
+of the links; where BEAM_MOST does not do it, the block is answered by an exact scan. A query whose beam
+is half full of links may have more than fit, so it is answered by an exact scan of that shard.
+Every link is verified by its cosine in double precision. Tasks return sums of links for each
+vector and a spanning forest of their links, both linear in the vectors they saw, never all
+pairs of a dense group. ``audited_recall`` is the share of true links that the audits found
+at the beams used. Within a shard both vectors of a pair search, and each counts the links that its
+own search found.
 
 Edge cases: a vector that is null, zero or has null or non-finite components (or another
 length than most) links with nothing and is its own component. Equal vectors are linked with each
@@ -29,15 +32,17 @@ from tidemark.llm._common import bind_batches, cut
 from tidemark.llm._graph import components
 
 COSINE = 0.95
-SHARD_ROWS = 8192
-BLOCK_ROWS = 1024
+SHARD_ROWS = 32768
+BLOCK_ROWS = 8192
+#: Queries whose beams move together.
+STEP = 1024
 LINKS = 12
 BEAM = 48
+BEAM_MOST = 384
 BUILD_BEAM = 48
 RECALL = 0.98
-AUDIT = 24
-#: True links that an audit must have seen; with fewer, one miss in fifty could not be told.
-AUDIT_LINKS = 50
+#: Planted queries, and own queries with an exact scan, of each audit.
+PLANTED, AUDIT = 128, 64
 WIDE = 4  # beam members expanded in one step
 
 
@@ -195,105 +200,133 @@ class Graph:
         return g
 
 
-def links(graph: Graph, x: np.ndarray, q: np.ndarray, cosine: float = COSINE, beam: int = BEAM, own: int | None = None) -> tuple[np.ndarray, np.ndarray, float]:
-    """Pairs (query, node) of cosine at least ``cosine`` (unit vectors in double), and the recall of the last audit.
+def planted(x: np.ndarray, many: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes and, for each, a query at a hair above ``cosine`` from it, in a random direction."""
+    rng = np.random.default_rng(len(x))
+    nodes = rng.choice(len(x), min(many, len(x)), replace=False)
+    base = x[nodes]
+    away = rng.normal(size=base.shape)
+    away -= (away * base).sum(axis=1, keepdims=True) * base
+    size = np.sqrt((away * away).sum(axis=1, keepdims=True))
+    away = np.divide(away, size, out=np.zeros_like(away), where=size > 1e-9)
+    near = min(cosine + 1e-3, 1.0)
+    return nodes, near * base + np.sqrt(1 - near * near) * away
+
+
+def links(graph: Graph, x: np.ndarray, q: np.ndarray, cosine: float = COSINE, beam: int = BEAM, own: int | None = None, audits: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (queries, nodes) of cosine at least ``cosine`` (unit vectors in double), in bounded parts, a query in one part only.
 
     Queries that are nodes themselves, from node ``own`` on, are not linked with themselves.
+    ``audits`` gets two numbers added: true links that the audits know of, and those found.
     """
     if not len(q) or not len(x):
-        return np.zeros(0, int), np.zeros(0, int), 1.0
+        return
     slack = np.float32(cosine - 1e-4)
 
-    def scan(some: np.ndarray) -> np.ndarray:
+    def scan(some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         out = q[some] @ x.T >= cosine
         if own is not None:
             out[np.arange(len(some)), own + some] = False
-        return out
-
-    order = np.random.default_rng(0).permutation(len(q))
-    seen, done, parts = 0, 0, []
-    while done < len(q) and seen < AUDIT_LINKS:
-        parts.append(scan(order[done : done + min(AUDIT << len(parts), 256)]))
-        seen += int(parts[-1].sum())
-        done += len(parts[-1])
-    audit, truth = order[:done], np.concatenate(parts)
-    r, c = np.nonzero(truth)
-    us, vs = [audit[r]], [c]
-    if done == len(q):
-        return us[0], vs[0], 1.0
+        r, c = np.nonzero(out)
+        return some[r], c
+
+    audit = np.sort(np.random.default_rng(0).permutation(len(q))[:AUDIT])
+    u, v = scan(audit)
+    yield u, v
+    rest = np.setdiff1d(np.arange(len(q)), audit)
+    if not len(rest):
+        return
+    nodes, probes = planted(x, PLANTED, cosine)
     while True:
         beam = min(beam, len(x))
-        ids, sims = graph.query(q, beam)
-        hit = (sims >= slack) & (ids >= 0)
-        full = hit.sum(axis=1) * 2 >= beam
-        found = np.zeros(truth.shape, bool)
-        r, c = np.nonzero(hit[audit])
-        found[r, ids[audit][r, c]] = True
-        found[full[audit]] = True
-        recall = (found & truth).sum() / truth.sum()
-        if recall >= RECALL or beam >= len(x):
+        ids, _ = graph.query(probes, beam)
+        hits = int((ids == nodes[:, None]).any(axis=1).sum())
+        ok = hits >= RECALL * len(nodes)
+        found = 0
+        if ok and len(u):
+            asked = np.unique(u)
+            ids, sims = graph.query(q[asked], beam)
+            full = ((sims >= slack) & (ids >= 0)).sum(axis=1) * 2 >= beam
+            mine = np.searchsorted(asked, u)
+            found = int((full[mine] | (ids[mine] == v[:, None]).any(axis=1)).sum())
+            ok = found >= RECALL * len(u)
+        if ok or beam >= min(BEAM_MOST, len(x)):
             break
         beam *= 2
-    full[audit] = hit[audit] = False  # answered by the audit
-    u, c = np.nonzero(hit & ~full[:, None])
-    v = ids[u, c]
-    ok = np.einsum("id,id->i", q[u], x[v]) >= cosine
-    if own is not None:
-        ok &= own + u != v
-    us.append(u[ok])
-    vs.append(v[ok])
-    for a in range(0, len(dense := np.flatnonzero(full)), 256):
-        r, c = np.nonzero(scan(dense[a : a + 256]))
-        us.append(dense[a : a + 256][r])
-        vs.append(c)
-    return np.concatenate(us), np.concatenate(vs), float(recall)
-
-
-def _forest(u: np.ndarray, v: np.ndarray, n: int) -> list[tuple[int, int]]:
-    parent = list(range(n))
-    out = []
-    for a, b in zip(u.tolist(), v.tolist(), strict=True):
-        x, y = a, b
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        while parent[y] != y:
-            parent[y] = parent[parent[y]]
-            y = parent[y]
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            out.append((a, b))
+    if audits is not None:
+        audits += [len(nodes) + len(u), hits + found if ok else len(nodes) + len(u)]
+    for a in range(0, len(rest), STEP):
+        some = rest[a : a + STEP]
+        dense = some
+        if ok:
+            ids, sims = graph.query(q[some], beam)
+            hit = (sims >= slack) & (ids >= 0)
+            full = hit.sum(axis=1) * 2 >= beam
+            dense = some[full]
+            r, c = np.nonzero(hit & ~full[:, None])
+            u, v = some[r], ids[r, c]
+            good = np.einsum("id,id->i", q[u], x[v]) >= cosine
+            if own is not None:
+                good &= own + u != v
+            yield u[good], v[good]
+        for b in range(0, len(dense), 256):
+            yield scan(dense[b : b + 256])
+
+
+class Forest:
+    """Spanning forest of links between queries and nodes, kept while they arrive."""
+
+    def __init__(self, queries: int, nodes: int) -> None:
+        self.label, self.queries = np.arange(queries + nodes), queries
+        self.edges: list[tuple[int, int]] = []
+
+    def add(self, u: np.ndarray, v: np.ndarray) -> None:
+        """Links (u, v) with equal u side by side."""
+        starts = np.flatnonzero(np.concatenate([[True], np.diff(u) != 0])) if len(u) else []
+        for a, b in zip(starts, [*starts[1:], len(u)], strict=True):
+            query, some = int(u[a]), v[a:b]
+            of = self.label[self.queries + some]
+            for label, at in zip(*np.unique(of, return_index=True), strict=True):
+                mine = self.label[query]
+                if label != mine:
+                    self.label[self.label == label] = mine
+                    self.edges.append((query, int(some[at])))
+
+
+def units_of(column: pa.Array) -> list[bytes | None]:
+    """Unit vectors in double precision as bytes; None for a vector that links with nothing."""
+    out: list[bytes | None] = [None] * len(column)
+    offsets = column.offsets.to_numpy().astype(np.int64)
+    values = column.values.cast(pa.float64()).to_numpy(zero_copy_only=False)  # nulls become nan
+    length = np.where(column.is_valid().to_numpy(zero_copy_only=False), np.diff(offsets), 0)
+    for n in np.unique(length[length > 0]):
+        rows = np.flatnonzero(length == n)
+        x = values[offsets[rows][:, None] + np.arange(n)]
+        most = np.abs(x).max(axis=1)
+        good = np.isfinite(x).all(axis=1) & (most > 0)
+        rows, x = rows[good], x[good] / most[good][:, None]
+        x = x / np.sqrt(np.einsum("id,id->i", x, x))[:, None] + 0.0
+        for i, unit in zip(rows.tolist(), x, strict=True):
+            out[i] = unit.tobytes()
     return out
 
 
-def _unit(vector: list | None) -> bytes | None:
-    """Unit vector in double precision as bytes; None for a vector that links with nothing."""
-    if not vector or any(v is None for v in vector):
-        return None
-    x = np.array(vector, np.float64)
-    if not np.isfinite(x).all():
-        return None
-    x = x / (np.abs(x).max() or 1.0)
-    norm = np.sqrt(x @ x)
-    return None if not norm else (x / norm + 0.0).tobytes()
-
-
 def neighbours(vectors: DataFrame) -> DataFrame:
-    """vec_id, n_links, component_id, kept for every row of ``vectors`` (vec_id, embedding)."""
+    """vec_id, n_links, component_id, kept, audited_recall for every row of ``vectors`` (vec_id, embedding)."""
     spark = vectors.sparkSession
     bind_batches(spark, 2000)
     kind = vectors.schema["vec_id"].dataType.simpleString()
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            units = [_unit(v) for v in batch.column("embedding").to_pylist()]
+            units = units_of(batch.column("embedding"))
             uids = [hashlib.md5(u).digest() if u else None for u in units]
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(uids, pa.binary()), pa.array(units, pa.binary())], ["vec_id", "uid", "unit"])
 
     rows = cut(vectors.select("vec_id", "embedding").mapInArrow(prepare, f"vec_id {kind}, uid binary, unit binary"))
     classes = cut(rows.where("uid is not null").groupBy("uid").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("times"), F.min("unit").alias("unit")))
     n = classes.count()
-    shards = max(1, -(-n // SHARD_ROWS))
+    shards = max(1, -(-n // SHARD_ROWS))  # dealt by hash, so of about equal size
     placed = classes.select("uid", "times", "unit", F.pmod(F.xxhash64("uid"), F.lit(shards)).cast("int").alias("shard"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,34 +368,41 @@ def neighbours(vectors: DataFrame) -> DataFrame:
                 d = get["size"] // 8
                 x, q = np.frombuffer(get["units"]).reshape(-1, d), np.frombuffer(get["q_units"]).reshape(-1, d)
                 own = get["home"] == get["shard"]
-                u, v, _ = links(Graph.load(get["graph"], x), x, q, own=get["first"] if own else None)
                 t_x, t_q = np.frombuffer(get["times"], np.int64), np.frombuffer(get["q_times"], np.int64)
-                sums = [(get["q_uids"], np.bincount(u, weights=t_x[v], minlength=len(q)))]
-                if not own:
-                    sums.append((get["uids"], np.bincount(v, weights=t_q[u], minlength=len(x))))
-                uid, other, add = [], [], []
-                for names, total in sums:
+                of_q, of_x, forest, audits = np.zeros(len(q)), np.zeros(len(x)), Forest(len(q), len(x)), []
+                for u, v in links(Graph.load(get["graph"], x), x, q, own=get["first"] if own else None, audits=audits):
+                    of_q += np.bincount(u, weights=t_x[v], minlength=len(q))
+                    if not own:
+                        of_x += np.bincount(v, weights=t_q[u], minlength=len(x))
+                    forest.add(u, v)
+                uid, other, add = [b"", b""][: len(audits)], [None, None][: len(audits)], list(audits)  # no vector has an empty uid
+                kinds = ["true", "found"][: len(audits)]
+                for names, total in ((get["q_uids"], of_q), (get["uids"], of_x)):
                     for k in np.flatnonzero(total).tolist():
                         uid.append(names[16 * k : 16 * k + 16])
                         other.append(None)
                         add.append(int(total[k]))
-                for a, b in _forest(u, v + len(q), len(q) + len(x)):
+                for a, b in forest.edges:
                     uid.append(get["q_uids"][16 * a : 16 * a + 16])
-                    other.append(get["uids"][16 * (b - len(q)) : 16 * (b - len(q)) + 16])
+                    other.append(get["uids"][16 * b : 16 * b + 16])
                     add.append(0)
+                kinds += ["link"] * (len(uid) - len(kinds))
                 if uid:
-                    yield pa.RecordBatch.from_arrays([pa.array(uid, pa.binary()), pa.array(other, pa.binary()), pa.array(add, pa.int64())], ["u", "v", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(uid, pa.binary()), pa.array(other, pa.binary()), pa.array(add, pa.int64()), pa.array(kinds)], ["u", "v", "n", "kind"])
 
     tasks = asked.repartition("shard", "home", "first").join(built, ["shard", "size"])
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # a row holds a shard
     try:
-        found = cut(tasks.mapInArrow(answer, "u binary, v binary, n long"))
+        found = cut(tasks.mapInArrow(answer, "u binary, v binary, n long, kind string"))
     finally:
         bind_batches(spark, 2000)
+    audit = {r["kind"]: r["n"] for r in found.where("kind <> 'link'").groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+    found = found.where("kind = 'link'")
+    recall = audit["found"] / audit["true"] if audit.get("true") else 1.0  # no audit: everything was scanned
     sums = found.where("v is null").groupBy(F.col("u").alias("uid")).agg(F.sum("n").alias("links"))
     roots = components(found.where("v is not null").select("u", "v"))
     known = classes.select("uid", "first_id", "times").join(sums, "uid", "left").join(roots.withColumnRenamed("node", "uid"), "uid", "left")
     known = known.select("uid", "first_id", "times", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "uid").alias("root"))
     named = known.join(known.groupBy("root").agg(F.min("first_id").alias("component")), "root").select("uid", (F.col("links") + F.col("times") - 1).alias("_n"), "component")
     out = rows.select("vec_id", "uid").join(named, "uid", "left")
-    return out.select("vec_id", F.coalesce("_n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    return out.select("vec_id", F.coalesce("_n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))).withColumn("audited_recall", F.lit(recall))
