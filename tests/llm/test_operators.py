@@ -404,6 +404,13 @@ def test_audit_without_links_is_no_evidence(own):
     assert (501, 17) in found and audits[0] >= hnsw.PLANTED
 
 
+def test_forest_spans_links():
+    forest = hnsw.Forest(3, 4)
+    for u, v in (([], []), ([0, 0, 1], [0, 1, 1]), ([2], [3])):
+        forest.add(np.array(u, int), np.array(v, int))
+    assert sorted(forest.edges) == [(0, 0), (0, 1), (1, 1), (2, 3)]
+
+
 def test_graph_finds_planted_links():
     x = np.random.default_rng(5).normal(size=(3000, 32))
     x /= np.linalg.norm(x, axis=1, keepdims=True)

@@ -282,7 +282,9 @@ class Forest:
 
     def add(self, u: np.ndarray, v: np.ndarray) -> None:
         """Links (u, v) with equal u side by side."""
-        starts = np.flatnonzero(np.concatenate([[True], np.diff(u) != 0])) if len(u) else []
+        if not len(u):
+            return
+        starts = np.flatnonzero(np.concatenate([[True], np.diff(u) != 0]))
         for a, b in zip(starts, [*starts[1:], len(u)], strict=True):
             query, some = int(u[a]), v[a:b]
             of = self.label[self.queries + some]
