@@ -332,6 +332,79 @@ def test_tool_calls(spark):
     assert tool_calls.linked(df.where("false")).count() == 0
 
 
+def test_repeated_and_broken_tool_messages(spark):
+    call = lambda *c: json.dumps({"tool_calls": list(c)})
+    two = call({"id": "a", "name": "search", "arguments": {"query": "x"}}, {"id": "b", "name": "search", "arguments": {"query": "$a"}})
+    deep = "[" * 5000 + "]" * 5000
+    odd = [call({"id": "n", "name": "search", "arguments": "NaN"}), call({"id": "s", "name": "search", "arguments": '{"query": "\\ud800"}'}), call({"id": "d", "name": "search", "arguments": deep})]
+    odd += ['{"tool_calls": [{"id": "\\ud800"}]}', '{"tool_calls": [{"id": NaN}]}', '{"tool_calls": ' + deep + "}"]
+    rows = [(1, 0, "assistant", two), (1, 0, "assistant", two), (1, 1, "tool", '{"tool_call_id": "a"}'), *[(2, i, "assistant", t) for i, t in enumerate(odd)], (3, 0, "tool", '{"tool_call_id": "\\udfff"}')]
+    got = tool_calls.linked(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    of = lambda c: [r for r in got if r["conv_id"] == c]
+    assert len(of(1)) == 5 and sorted(r["problem"] or "" for r in of(1)) == ["", "", "duplicate_id", "duplicate_id", "no_result"]
+    assert [r["kind"] for r in sorted(of(2), key=lambda r: r["turn"])][:5] == ["call", "call", "call", "text", "text"] and len(of(2)) == 6 and of(3)[0]["kind"] == "text"
+
+
+def brute_links(rows):
+    """(conv_id, turn, call_no): (linked_turn, depth, problem), for calls of the search tool with good arguments."""
+    calls, results = {}, {}
+    out = {}
+    for c, t, role, text in sorted(rows, key=lambda r: r[:2]):
+        body = json.loads(text)
+        if role == "assistant":
+            for no, x in enumerate(body["tool_calls"]):
+                calls.setdefault((c, x["id"]), (t, no, x["depends_on"]))
+        else:
+            results.setdefault((c, body["tool_call_id"]), t)
+
+    def depth(c, cid, above=()):
+        if cid in above:
+            return None
+        deep = [depth(c, d, (*above, cid)) for d in calls[c, cid][2] if (c, d) in calls]
+        return None if None in deep else max(deep, default=-1) + 1
+
+    for c, t, role, text in rows:
+        body = json.loads(text)
+        if role == "tool":
+            own = calls.get((c, body["tool_call_id"]))
+            out[c, t, 0] = (own and own[0], None, "orphan_result" if own is None else "result_before_call" if t < own[0] else None)
+            continue
+        for no, x in enumerate(body["tool_calls"]):
+            if calls[c, x["id"]][:2] != (t, no):
+                out[c, t, no] = (None, None, "duplicate_id")
+                continue
+            r, n = results.get((c, x["id"])), depth(c, x["id"])
+            lost = any((c, d) not in calls for d in x["depends_on"])
+            out[c, t, no] = (r, n, "missing_dependency" if lost else "cycle" if n is None else "no_result" if r is None else None)
+    return out
+
+
+def test_tool_calls_against_brute_force(spark):
+    rng = random.Random(8)
+    rows = []
+    for c in range(30):
+        ids = [f"i{k}" for k in range(7)]
+        for t in range(12):
+            if rng.random() < 0.5:
+                made = [{"id": rng.choice(ids), "name": "search", "arguments": {"query": "q"}, "depends_on": rng.sample(ids, rng.choice([0, 0, 1, 2]))} for _ in range(rng.randint(1, 3))]
+                rows.append((c, t, "assistant", json.dumps({"tool_calls": made})))
+            else:
+                rows.append((c, t, "tool", json.dumps({"tool_call_id": rng.choice(ids), "content": t})))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    got = {(r["conv_id"], r["turn"], r["call_no"]): (r["linked_turn"], r["depth"], r["problem"]) for r in tool_calls.linked(df).collect()}
+    assert got == brute_links(rows)
+
+
+def test_plain_turns_as_tools(spark, none):
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 2, "user", None), (1, 3, "assistant", "c"), (1, 4, "system", "d"), (2, 1, "assistant", "e")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r["conv_id"], r["turn"]): r for r in tool_calls.linked(tool_calls.as_tools(df)).collect()}
+    assert {k: (r["kind"], r["linked_turn"], r["depth"], r["problem"]) for k, r in got.items()} == {
+        (1, 0): ("call", 1, 0, None), (1, 1): ("result", 0, None, None), (1, 2): ("call", 3, 1, "bad_arguments"), (1, 3): ("result", 2, None, None), (1, 4): ("text", None, None, None), (2, 1): ("result", None, None, "orphan_result"),
+    }
+    assert json.loads(got[1, 0]["json"])["arguments"] == {"query": "a"}
+
+
 # 9 ------------------------------------------------------------------------------------------
 
 

@@ -33,7 +33,7 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tool_calls.linked(table(spark, sf_dir, "conversations"))
+    return tool_calls.linked(tool_calls.as_tools(table(spark, sf_dir, "conversations")))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,8 @@
 A message of role ``assistant`` whose text is a JSON object with a list ``tool_calls`` makes
 calls ({"id", "name", "arguments", optional "depends_on"}); a message of role ``tool`` whose
 text is a JSON object with ``tool_call_id`` is a result. Everything else is plain text. A call
-depends on the ids in ``depends_on`` and on those that its arguments name as "$id".
+depends on the ids in ``depends_on`` and on those that its arguments name as "$id". ``as_tools`` makes
+such messages of plain turns.
 
 Calls and results are hash-joined on (conversation, id). Calls are ordered topologically: depth 0
 has no dependencies, and each round of joins settles the calls whose dependencies are settled.
@@ -14,16 +15,18 @@ One row comes back for each call and for each other message, so no conversation
 collected into one task, however long it is.
 
 Edge cases (``problem``): ``orphan_result`` (no such call), ``no_result``, ``duplicate_id`` (a
-later call of an id used before; it is not linked), ``result_before_call``, ``bad_arguments``,
+later call of an id used before, an equal row included; it is not linked), ``result_before_call``, ``bad_arguments``,
 ``unknown_tool``, ``missing_dependency``, ``cycle``; the first that applies, in the order
 duplicate_id, unknown_tool, bad_arguments, missing_dependency, cycle, no_result for calls. Null
 text serialises as null content; null conversation ids link with nothing. Texts that are not
-valid JSON are plain text. Repeated results are all linked; equal rows stay apart. An empty
-table gives an empty result, and extra columns are ignored.
+valid JSON, nest too deeply or hold what JSON in UTF-8 can't (NaN, lone surrogates) are plain
+text, and such arguments in a string stay that string. Repeated results are all linked; equal rows
+stay apart. An empty table gives an empty result, and extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import json
 from collections.abc import Iterator
 from typing import Any
@@ -32,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import bind_batches, cut
+from tidemark.llm._common import bind_batches, discard, written
 
 #: JSON schemas (type, properties, required, enum, items) of the tools that the queries know.
 SCHEMAS: dict[str, dict] = {
@@ -45,7 +48,10 @@ _KINDS: dict[str, tuple[type, ...]] = {"object": (dict,), "array": (list,), "str
 
 
 def canonical(value: Any) -> str:
-    return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False)
+    """Sorted keys, no blanks, UTF-8; a ValueError for what that cannot hold."""
+    text = json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False)
+    text.encode("utf-8")
+    return text
 
 
 def conforms(value: Any, schema: dict) -> bool:
@@ -74,35 +80,74 @@ def references(value: Any) -> set[str]:
 
 
 def parse(role: str | None, text: str | None, schemas: dict[str, dict]) -> list[dict]:
-    """The rows of one message: kind, call_no, call_id, name, valid, deps, json."""
-    body: Any = None
-    if text and text.lstrip()[:1] == "{":
+    """The rows of one message: kind, call_no, call_id, name, valid, known, deps, json."""
+    if role in ("assistant", "tool") and text and text.lstrip()[:1] == "{":
         try:
             body = json.loads(text)
             canonical(body)
+            if rows := _tool_rows(role, body, schemas):
+                return rows
         except (ValueError, RecursionError):
-            body = None
-    if role == "assistant" and isinstance(body, dict) and isinstance(body.get("tool_calls"), list) and body["tool_calls"]:
-        rows = []
-        for no, call in enumerate(body["tool_calls"]):
-            call = call if isinstance(call, dict) else {}
-            name, args = call.get("name"), call.get("arguments")
-            name = name if isinstance(name, str) else None
-            if isinstance(args, str):  # arguments are often JSON in a string
-                try:
-                    args = json.loads(args)
-                except ValueError:
-                    pass
-            cid = None if call.get("id") is None else str(call["id"])
-            named = call.get("depends_on")
-            deps = sorted(({str(d) for d in named} if isinstance(named, list) else set()) | references(args))
-            valid = name in schemas and conforms(args, schemas[name])
-            rows.append({"kind": "call", "call_no": no, "call_id": cid, "name": name, "valid": valid, "known": name in schemas, "deps": deps, "json": canonical({"arguments": args, "depends_on": deps, "id": cid, "name": name, "role": role})})
-        return rows
-    if role == "tool" and isinstance(body, dict) and body.get("tool_call_id") is not None:
+            pass  # plain text
+    return [_row("text", {"content": text, "role": role})]
+
+
+def _row(kind: str, body: dict, call_no: int = 0, call_id: str | None = None, name: str | None = None, valid: bool | None = None, known: bool | None = None, deps: tuple | list = ()) -> dict:
+    return {"kind": kind, "call_no": call_no, "call_id": call_id, "name": name, "valid": valid, "known": known, "deps": list(deps), "json": canonical(body)}
+
+
+def _tool_rows(role: str, body: Any, schemas: dict[str, dict]) -> list[dict]:
+    """Rows of the calls or the result in a message; none if it has neither."""
+    if not isinstance(body, dict):
+        return []
+    if role == "tool":
+        if body.get("tool_call_id") is None:
+            return []
         cid = str(body["tool_call_id"])
-        return [{"kind": "result", "call_no": 0, "call_id": cid, "name": None, "valid": None, "known": None, "deps": [], "json": canonical({"content": body.get("content"), "role": role, "tool_call_id": cid})}]
-    return [{"kind": "text", "call_no": 0, "call_id": None, "name": None, "valid": None, "known": None, "deps": [], "json": canonical({"content": text, "role": role})}]
+        return [_row("result", {"content": body.get("content"), "role": role, "tool_call_id": cid}, call_id=cid)]
+    calls = body.get("tool_calls")
+    rows = []
+    for no, call in enumerate(calls if isinstance(calls, list) else ()):
+        call = call if isinstance(call, dict) else {}
+        name = call["name"] if isinstance(call.get("name"), str) else None
+        args = _arguments(call.get("arguments"))
+        cid = None if call.get("id") is None else str(call["id"])
+        named = call.get("depends_on")
+        deps = sorted(({str(d) for d in named} if isinstance(named, list) else set()) | references(args))
+        made = {"arguments": args, "depends_on": deps, "id": cid, "name": name, "role": role}
+        rows.append(_row("call", made, no, cid, name, name in schemas and conforms(args, schemas[name]), name in schemas, deps))
+    return rows
+
+
+def _arguments(value: Any) -> Any:
+    """Arguments, which are often JSON in a string."""
+    if isinstance(value, str):
+        try:
+            inner = json.loads(value)
+            canonical(inner)
+            references(inner)
+            return inner
+        except (ValueError, RecursionError):
+            pass
+    return value
+
+
+def as_tools(turns: DataFrame) -> DataFrame:
+    """conv_id, turn, role, text: plain turns as calls and results, as if each user asked a search tool.
+
+    A user's turn t becomes an assistant's call "t<t>" of ``search`` with its text as query; every second
+    one depends on the user's turn before it. An assistant's turn becomes the tool's result for
+    the turn before it. Other turns stay as they are.
+    """
+    turn = F.col("turn")
+    name = lambda n: F.concat(F.lit("t"), n.cast("string"))
+    before = F.when(F.pmod(turn, F.lit(4)) == 2, F.array(name(turn - 2))).otherwise(F.array().cast("array<string>"))
+    call = F.struct(name(turn).alias("id"), F.lit("search").alias("name"), F.struct(F.col("text").alias("query")).alias("arguments"), before.alias("depends_on"))
+    result = F.struct(name(turn - 1).alias("tool_call_id"), F.col("text").alias("content"))
+    user, assistant = F.col("role") == "user", F.col("role") == "assistant"
+    text = F.when(user, F.to_json(F.struct(F.array(call).alias("tool_calls")))).when(assistant, F.to_json(result)).otherwise(F.col("text"))
+    role = F.when(user, "assistant").when(assistant, "tool").otherwise(F.col("role"))
+    return turns.select("conv_id", "turn", role.alias("role"), text.alias("text"))
 
 
 def linked(messages: DataFrame, schemas: dict[str, dict] = SCHEMAS) -> DataFrame:
@@ -126,16 +171,16 @@ def linked(messages: DataFrame, schemas: dict[str, dict] = SCHEMAS) -> DataFrame
     empty = {"linked_turn": F.lit(None).cast(kinds[1][1]), "depth": F.lit(None).cast("int"), "problem": F.lit(None).cast("string")}
     out = ["conv_id", "turn", "role", "kind", "call_no", "call_id", "name", "linked_turn", "depth", F.col("valid").alias("args_valid"), "problem", "json"]
     plain = rows.where("kind = 'text'").withColumns(empty).select(*out)
-    tools = cut(rows.where("kind <> 'text'"))
+    tools = written(rows.where("kind <> 'text'").withColumn("row_no", F.monotonically_increasing_id()))  # numbered once: the table is read from here on
     if tools.isEmpty():
         return plain
     calls, results = tools.where("kind = 'call'"), tools.where("kind = 'result'")
-    # The first call of an id owns it.
-    owners = calls.where("conv_id is not null and call_id is not null").groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "call_no")).alias("own"))
-    owners = owners.select(F.col("conv_id").alias("o_conv"), F.col("call_id").alias("o_id"), F.col("own.turn").alias("o_turn"), F.col("own.call_no").alias("o_no"))
+    # The first call of an id owns it; of equal rows one.
+    owners = calls.where("conv_id is not null and call_id is not null").groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "call_no", "row_no")).alias("own"))
+    owners = owners.select(F.col("conv_id").alias("o_conv"), F.col("call_id").alias("o_id"), F.col("own.turn").alias("o_turn"), F.col("own.row_no").alias("o_row"))
     answers = results.groupBy("conv_id", "call_id").agg(F.min("turn").alias("r_turn")).select(F.col("conv_id").alias("r_conv"), F.col("call_id").alias("r_id"), "r_turn")
     same = (F.col("conv_id") == F.col("o_conv")) & (F.col("call_id") == F.col("o_id"))
-    calls = calls.join(owners, same, "left").withColumn("owner", F.coalesce((F.col("turn") == F.col("o_turn")) & (F.col("call_no") == F.col("o_no")), F.lit(False)))
+    calls = calls.join(owners, same, "left").withColumn("owner", F.coalesce(F.col("row_no") == F.col("o_row"), F.lit(False)))
     calls = calls.join(answers, (F.col("conv_id") == F.col("r_conv")) & (F.col("call_id") == F.col("r_id")) & F.col("owner"), "left")
     depths = _depths(calls.where("owner"))
     calls = calls.join(depths, (F.col("conv_id") == F.col("d_conv")) & (F.col("call_id") == F.col("d_id")) & F.col("owner"), "left")
@@ -154,21 +199,25 @@ def linked(messages: DataFrame, schemas: dict[str, dict] = SCHEMAS) -> DataFrame
 
 
 def _depths(calls: DataFrame) -> DataFrame:
-    """d_conv, d_id, depth (null in or behind a cycle), missing, by rounds that settle what has no open dependency."""
-    nodes = calls.select(F.col("conv_id").alias("d_conv"), F.col("call_id").alias("d_id"), F.array_distinct("deps").alias("deps"))
-    needs = nodes.select("d_conv", "d_id", F.explode("deps").alias("on"))
+    """d_conv, d_id, depth (null in or behind a cycle), missing, by rounds that settle what has no open dependency.
+
+    A round reads what the round before settled and the dependencies that were open then, and
+    writes what is left; there are as many rounds as the longest chain has calls.
+    """
+    key = ["d_conv", "d_id"]
+    nodes = written(calls.select(F.col("conv_id").alias("d_conv"), F.col("call_id").alias("d_id"), F.array_distinct("deps").alias("deps")))
+    needs = nodes.select(*key, F.explode("deps").alias("on"))
     real = needs.join(nodes.select(F.col("d_conv").alias("n_conv"), F.col("d_id").alias("n_id")), (F.col("d_conv") == F.col("n_conv")) & (F.col("on") == F.col("n_id")), "left")
-    open_ = cut(real.where("n_id is not null").select("d_conv", "d_id", "on"))
-    missing = real.where("n_id is null").select("d_conv", "d_id").distinct().withColumn("missing", F.lit(True))
-    waiting = open_.select("d_conv", "d_id").distinct()
-    done = cut(nodes.select("d_conv", "d_id").join(waiting, ["d_conv", "d_id"], "left_anti").withColumn("depth", F.lit(0)))
-    while not open_.isEmpty():
-        before = done.select(F.col("d_conv").alias("p_conv"), F.col("d_id").alias("p_id"), F.col("depth").alias("p_depth"))
-        state = open_.join(before, (F.col("d_conv") == F.col("p_conv")) & (F.col("on") == F.col("p_id")), "left")
-        ready = state.groupBy("d_conv", "d_id").agg(F.count_if(F.col("p_depth").isNull()).alias("left_"), (F.max("p_depth") + 1).alias("depth")).where("left_ = 0").select("d_conv", "d_id", "depth")
-        ready = cut(ready)
-        if ready.isEmpty():
-            break
-        done = cut(done.unionByName(ready))
-        open_ = cut(open_.join(ready, ["d_conv", "d_id"], "left_anti"))
-    return nodes.select("d_conv", "d_id").join(done, ["d_conv", "d_id"], "left").join(missing, ["d_conv", "d_id"], "left").withColumn("missing", F.coalesce("missing", F.lit(False)))
+    missing = real.where("n_id is null").select(*key).distinct().withColumn("missing", F.lit(True))
+    open_ = written(real.where("n_id is not null").select(*key, "on"))
+    ready = written(nodes.select(*key).join(open_.select(*key).distinct(), key, "left_anti"))
+    layers = [ready.withColumn("depth", F.lit(0))]
+    while not open_.isEmpty() and not ready.isEmpty():
+        settled = ready.select("d_conv", F.col("d_id").alias("on"))
+        left = written(open_.join(settled, ["d_conv", "on"], "left_anti").select(*key, "on"))
+        ready = written(open_.select(*key).distinct().join(left.select(*key).distinct(), key, "left_anti"))
+        discard(open_)
+        open_ = left
+        layers.append(ready.withColumn("depth", F.lit(len(layers))))
+    done = functools.reduce(DataFrame.unionByName, layers)
+    return nodes.select(*key).join(done, key, "left").join(missing, key, "left").withColumn("missing", F.coalesce("missing", F.lit(False)))
