@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.constants import OUTCOME_HORIZONS
@@ -13,18 +13,19 @@ from tidemark.constants import OUTCOME_HORIZONS
 def collapse(articles: DataFrame, keys: Sequence[str] = ("ticker", "trade_date", "category"), headlines: int = 3) -> DataFrame:
     """One row an event: articles, mean sentiment, status of the earliest, first and last publication, first headlines.
 
-    Articles are ordered by publication, then id. The list of headlines is bounded: partial
-    aggregates keep the smallest ``headlines`` only.
+    Articles are ordered by publication, then id. Only the first ``headlines`` articles of an event
+    are collected; the others are counted and summed as they come by.
     """
     first = F.struct("published_at", "article_id")
     head = F.struct("published_at", "article_id", "headline")
-    ranked = articles.groupBy(*keys).agg(
+    order = Window.partitionBy(*keys).orderBy("published_at", "article_id")
+    ranked = articles.withColumn("_n", F.row_number().over(order)).groupBy(*keys).agg(
         F.count("*").alias("n_articles"),
         F.avg("score").alias("mean_sentiment"),
         F.min_by("session_status", first).alias("session_status"),
         F.min("published_at").alias("first_published"),
         F.max("published_at").alias("last_published"),
-        F.slice(F.sort_array(F.collect_list(head)), 1, headlines).alias("_head"),
+        F.sort_array(F.collect_list(F.when(F.col("_n") <= headlines, head))).alias("_head"),
     )
     return ranked.withColumn("headlines", F.array_join(F.transform("_head", lambda x: x["headline"]), " | ")).drop("_head")
 

@@ -31,17 +31,17 @@ def with_labels(bars: DataFrame, horizons: Sequence[int] = LABEL_HORIZONS, thres
     return bars.withColumns({f"label_up_{k}d": label_up(F.col(f"fwd_ret_{k}d"), threshold) for k in horizons})
 
 
-def calendar_returns(bars: DataFrame, calendar: DataFrame, horizons: Sequence[int], keys: tuple[str, ...] = ("ticker",)) -> DataFrame:
-    """(keys, date, pos, horizon, close, close_then, fwd_ret): both ends are sessions of the shared calendar.
+def calendar_returns(bars: DataFrame, calendar: DataFrame, horizons: Sequence[int], keys: tuple[str, ...] = ("ticker",), carry: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, date, pos, horizon, carry, close, close_then, fwd_ret): both ends are sessions of the shared calendar.
 
     A missing bar at T + h gives null, never the next bar there is. Each bar is matched with the
     bar h positions on by an equality join on (keys, position), one row for each horizon.
     """
-    placed = bars.join(F.broadcast(calendar), "date").select(*keys, "date", "pos", "close")  # calendar: trading days
+    placed = bars.join(F.broadcast(calendar), "date").select(*keys, "date", "pos", "close", *carry)  # calendar: trading days
     now = placed.withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in horizons]))).withColumn("then_pos", F.col("pos") + F.col("horizon"))
     then = placed.select(*keys, F.col("pos").alias("then_pos"), F.col("close").alias("close_then"))
     joined = now.join(then, [*keys, "then_pos"], "left")
-    return joined.select(*keys, "date", "pos", "horizon", "close", "close_then", (ratio(F.col("close_then"), F.col("close")) - 1).alias("fwd_ret"))
+    return joined.select(*keys, "date", "pos", "horizon", *carry, "close", "close_then", (ratio(F.col("close_then"), F.col("close")) - 1).alias("fwd_ret"))
 
 
 def abnormal_returns(panel: DataFrame, benchmark: DataFrame, calendar: DataFrame, seams: DataFrame, horizons: Sequence[int] = OUTCOME_HORIZONS) -> DataFrame:
@@ -50,7 +50,7 @@ def abnormal_returns(panel: DataFrame, benchmark: DataFrame, calendar: DataFrame
     ``reason`` is the first that applies of beyond_calendar, missing_price (stock or benchmark, at
     either end) and seam; the three returns are null unless valid. Only bars that exist get rows.
     """
-    stock = calendar_returns(panel, calendar, horizons)
+    stock = calendar_returns(panel, calendar, horizons, carry=("source",))
     mark = calendar_returns(benchmark.select("date", "close", F.lit("*").alias("ticker")), calendar, horizons)
     mark = mark.select("pos", "horizon", F.col("fwd_ret").alias("b_ret"))  # sessions x horizons
     last = calendar.agg(F.max("pos").alias("last_pos"))
@@ -63,8 +63,7 @@ def abnormal_returns(panel: DataFrame, benchmark: DataFrame, calendar: DataFrame
     out = joined.withColumn("reason", reason).withColumn("crosses_seam", crossed)
     ok = F.col("reason").isNull()
     out = out.withColumns({"valid": ok, "stock_ret": F.when(ok, F.col("fwd_ret")), "benchmark_ret": F.when(ok, F.col("b_ret")), "abnormal_ret": F.when(ok, F.col("fwd_ret") - F.col("b_ret"))})
-    source = panel.select("ticker", "date", "source")
-    return out.join(source, ["ticker", "date"]).select("ticker", "date", "source", "horizon", "pos", "stock_ret", "benchmark_ret", "abnormal_ret", "valid", "reason", "crosses_seam", F.col("fwd_ret").isNull().alias("stock_missing"), F.col("b_ret").isNull().alias("benchmark_missing"))
+    return out.select("ticker", "date", "source", "horizon", "pos", "stock_ret", "benchmark_ret", "abnormal_ret", "valid", "reason", "crosses_seam", F.col("fwd_ret").isNull().alias("stock_missing"), F.col("b_ret").isNull().alias("benchmark_missing"))
 
 
 def _seam_positions(panel: DataFrame, calendar: DataFrame, seams: DataFrame) -> DataFrame:

@@ -149,6 +149,12 @@ def change_label() -> Column:
     )
 
 
+def established_on_both(change: DataFrame) -> DataFrame:
+    """category, horizon of the cells whose change is established on the raw mean and on the difference."""
+    of = lambda m: change.where((F.col("metric") == m) & F.col("change_established")).select("category", "horizon")
+    return of("own_nw_mean").join(of("vs_other_diff"), ["category", "horizon"], "left_semi")
+
+
 def concentration(events: DataFrame, candidates: DataFrame, days: int = WINDOW_DAYS) -> DataFrame:
     """For each candidate (ticker, category, horizon): how much of its mean rests on few events, and how dense it ever was."""
     key = ["ticker", "category", "horizon"]

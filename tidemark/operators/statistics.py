@@ -17,18 +17,20 @@ def hac_means(series: DataFrame, keys: Sequence[str], value: str, pos: str = "po
 
     Newey-West with Bartlett weights 1 - k/(L+1), L = horizon - 1, where only observations exactly
     k sessions apart count. The weights are linear in the distance, so the sum over earlier
-    observations within L sessions needs only their sum and position-weighted sum: two RANGE
-    window aggregates instead of a self-join. Positions are stretched by M / horizon, M the least
-    common multiple of the horizons, so that one literal frame serves all of them in one pass.
+    observations within L sessions needs only their sum and position-weighted sum, each the
+    difference of two running sums: no self-join, and no frame that is summed again for each row.
+    Positions are stretched by M / horizon, M the least common multiple of the horizons, so that
+    one literal frame serves all of them in one pass.
     """
     multiple = math.lcm(*horizons)
     cell = Window.partitionBy(*keys, "horizon")
     r = series.where(F.col("horizon").isin(*horizons))
     r = r.withColumn("_mean", F.avg(value).over(cell)).withColumn("_p", (F.col(pos) - F.min(pos).over(cell)).cast("long"))
     r = r.withColumn("_r", F.col(value) - F.col("_mean")).withColumn("_at", F.col("_p") * (F.lit(multiple) / F.col("horizon")).cast("long"))
-    before = cell.orderBy("_at").rangeBetween(-(multiple - 1), -1)
-    s0 = F.coalesce(F.sum("_r").over(before), F.lit(0.0))
-    s1 = F.coalesce(F.sum(F.col("_r") * F.col("_p")).over(before), F.lit(0.0))
+    upto = lambda c, back: F.coalesce(F.sum(c).over(cell.orderBy("_at").rangeBetween(Window.unboundedPreceding, -back)), F.lit(0.0))
+    r = r.withColumn("_rp", F.col("_r") * F.col("_p"))
+    r = r.withColumns({f"_{c}_{k}": upto(c, back) for c in ("_r", "_rp") for k, back in (("near", 1), ("far", multiple))})
+    s0, s1 = F.col("__r_near") - F.col("__r_far"), F.col("__rp_near") - F.col("__rp_far")
     r = r.withColumn("_c", 2 * F.col("_r") * (s0 * (1 - F.col("_p") / F.col("horizon")) + s1 / F.col("horizon")))
     out = r.groupBy(*keys, "horizon").agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.sum(F.col("_r") * F.col("_r") + F.col("_c")).alias("_v"))
     se = F.when(F.col("n") >= 2, F.sqrt(F.greatest(F.col("_v") / F.col("n"), F.lit(0.0)) / F.col("n")))

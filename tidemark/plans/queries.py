@@ -14,6 +14,9 @@ from tidemark.operators import backtest, current, indicators, learning, news, ou
 from tidemark.operators.calendar import assign_trade_dates, business_day, session_calendar, to_sessions
 from tidemark.plans import bindings as b
 from tidemark.plans import oracle as o
+from tidemark.plans import service, workflows
+from tidemark.sources.news import coverage as article_coverage
+from tidemark.sources.panel import last_change
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -596,6 +599,13 @@ def concentration(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(out.select("ticker", "category", "horizon", "n_events_valid", "mean_abnormal_return", "mean_excl_most_extreme", "mean_excl_3_most_extreme", "largest_event_return", "largest_event_date", "max_events_in_window", "n_recent", "event_dominated"))
 
 
+@query(f"SELECT metric, count(*) FILTER (diff_significant_fdr AND intervals_disjoint) AS n_established, (SELECT count(*) FROM (SELECT category, horizon FROM {_TC} WHERE diff_significant_fdr AND intervals_disjoint GROUP BY ALL HAVING count(*) = 2)) AS n_on_both FROM {_TC} GROUP BY metric")
+def established_changes(spark: SparkSession, sf: str) -> DataFrame:
+    change = rolling.temporal_change(rolling.rolling_categories(b.events(spark, sf))).persist()  # cells of a report, read three times
+    both = rolling.established_on_both(change).count()  # cells of a report
+    return change.groupBy("metric").agg(F.count_if("change_established").alias("n_established")).withColumn("n_on_both", F.lit(both).cast("long"))
+
+
 # --- current events ------------------------------------------------------------------------
 
 _CE = """(SELECT ticker, trade_date, category, count(*) AS n_articles, avg(score) AS mean_sentiment, min(published_at) AS first_published, max(published_at) AS last_published,
@@ -621,6 +631,23 @@ def evidence(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(out.select("ticker", "trade_date", "category", "horizon", "shrunk_mean", "evidence_status"))
 
 
+_CN = f"""(SELECT ticker, trade_date, category, count(*) AS n_articles, avg(score) AS mean_sentiment, min(published_at) AS first_published, array_to_string(list(headline ORDER BY published_at, article_id)[1:3], ' | ') AS headlines,
+  arg_min(session_status, (published_at, article_id)) AS session_status FROM (
+  SELECT l.article_id, l.ticker, l.headline, l.published_at, coalesce(p.trade_date, (p.day + CASE isodow(p.day) WHEN 6 THEN 2 WHEN 7 THEN 1 ELSE 0 END::INT)::DATE) AS trade_date, CASE WHEN p.trade_date IS NULL THEN 'after_panel' ELSE 'in_panel' END AS session_status,
+    {_RULE.replace('headline', 'l.headline')} AS category, coalesce((l.np - l.nn)::DOUBLE / nullif(l.np + l.nn, 0), 0) AS score FROM {_LEX} l JOIN placed_all p ON p.article_id = l.article_id) WHERE trade_date >= DATE '2001-06-01' GROUP BY ticker, trade_date, category)"""
+
+
+@query(f"""SELECT c.ticker, c.trade_date, c.category, h.horizon, c.n_articles, {r('c.mean_sentiment', 'mean_sentiment')}, c.first_published::VARCHAR AS first_published, c.headlines, c.session_status, {r('s.shrunk_mean', 'shrunk_mean')}, CASE WHEN s.evidence_tier IS NULL THEN 'no_history'
+  WHEN s.evidence_tier = 'insufficient' THEN 'insufficient_history' WHEN s.evidence_tier = 'exploratory' THEN 'exploratory_only' WHEN v.p_value IS NULL THEN 'supported_no_comparison' WHEN v.significant_fdr THEN 'supported_significant' ELSE 'supported_not_significant' END AS evidence_status
+  FROM {_CN} c CROSS JOIN hz h LEFT JOIN {_SHR} s ON s.ticker = c.ticker AND s.category = c.category AND s.horizon = h.horizon LEFT JOIN {_TVO} v ON v.ticker = c.ticker AND v.category = c.category AND v.horizon = h.horizon""")
+def current_news(spark: SparkSession, sf: str) -> DataFrame:
+    articles = b.articles(spark, sf).drop("score", "label", "category")
+    cache = spark.createDataFrame([], "text_key string, positive double, negative double, neutral double, label string, score double")
+    run = workflows.current_news(articles, session_calendar(b.panel(spark, sf)), cache, _shrunk(spark, sf), summaries.ticker_versus_other(b.events(spark, sf)), since=F.lit("2001-06-01").cast("date"))
+    first = F.date_format("first_published", "yyyy-MM-dd HH:mm:ss").alias("first_published")
+    return rounded(run["evidence"].select("ticker", "trade_date", "category", "horizon", "n_articles", "mean_sentiment", first, "headlines", "session_status", "shrunk_mean", "evidence_status"))
+
+
 # --- training ------------------------------------------------------------------------------
 
 
@@ -695,8 +722,8 @@ def train_boosted(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT {r('avg(y)', 'majority_proba')}, count(y) AS n FROM (SELECT ({_FWD[5]} > 0)::INT::DOUBLE AS y FROM panel)")
 def majority(spark: SparkSession, sf: str) -> DataFrame:
-    rows = outcomes.with_labels(b.panel(spark, sf), (5,))
-    return rounded(rows.agg(F.avg("label_up_5d").alias("majority_proba"), F.count("label_up_5d").alias("n")))
+    rows = outcomes.with_labels(b.panel(spark, sf), (5,)).where("label_up_5d is not null")
+    return rounded(rows.agg(F.count("*").alias("n")).withColumn("majority_proba", F.lit(learning.majority(rows, "label_up_5d"))).select("majority_proba", "n"))
 
 
 # --- backtest ------------------------------------------------------------------------------
@@ -745,6 +772,51 @@ def performance(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(backtest.performance(backtest.equity(backtest.positions(bars, _predictions(bars)))))
 
 
+def _backtest_sql(predictions: str, entry: str, exit_: str) -> str:
+    """Daily returns of signals, as ``_EQ`` has them, with other thresholds."""
+    held = _BT.replace(_PRED, predictions).replace("proba >= 0.55", f"proba >= {entry}").replace("proba <= 0.5 ", f"proba <= {exit_} ")
+    return _EQ.replace(_BT, held)
+
+
+_RULE_SIGNAL = f"(SELECT date, ticker, coalesce(({gated('avg', 'close', 20)} > {gated('avg', 'close', 50)})::INT::DOUBLE, 0.0) AS proba FROM panel)"
+_HOLD = """(SELECT date, avg(coalesce(rt, 0)) AS ret FROM (SELECT g.date, p.close / lag(p.close) OVER (PARTITION BY g.ticker ORDER BY g.date) - 1 AS rt
+  FROM (SELECT t.ticker, d.date FROM (SELECT DISTINCT ticker FROM panel) t CROSS JOIN (SELECT DISTINCT date FROM panel) d) g LEFT JOIN panel p ON p.ticker = g.ticker AND p.date = g.date) GROUP BY date)"""
+_TEST = f"(SELECT min(date) AS a, max(date) AS b FROM {_PRED})"
+_CURVES = f"""SELECT 'model' AS strategy, date, ret FROM {_EQ} UNION ALL SELECT 'buy_hold', date, ret FROM {_HOLD}, {_TEST} WHERE date BETWEEN a AND b
+  UNION ALL SELECT 'sma_rule', date, ret FROM {_backtest_sql(f'(SELECT s.* FROM {_RULE_SIGNAL} s, {_TEST} WHERE date BETWEEN a AND b)', '0.5', '0.5')}"""
+
+
+@query(f"""WITH c AS ({_CURVES}), e AS (SELECT *, product(1 + ret) OVER (PARTITION BY strategy ORDER BY date ROWS UNBOUNDED PRECEDING) AS eq FROM c), d AS (SELECT *, eq / max(eq) OVER (PARTITION BY strategy ORDER BY date ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM e)
+  SELECT strategy, count(*) AS n_days, {r('arg_max(eq, date) - 1', 'total_return')}, {r('pow(arg_max(eq, date), 252.0 / count(*)) - 1', 'cagr')}, {r('avg(ret) / stddev_samp(ret) * sqrt(252)', 'sharpe')},
+  {r('avg(ret) / stddev_samp(ret) FILTER (ret < 0) * sqrt(252)', 'sortino')}, {r('min(dd)', 'max_drawdown')} FROM d GROUP BY strategy""")
+def backtest_report(spark: SparkSession, sf: str) -> DataFrame:
+    bars = b.panel(spark, sf)
+    return rounded(workflows.backtest_report(bars, _predictions(bars).withColumns({"horizon": F.lit(1), "split": F.lit("test")})))
+
+
+# --- service -------------------------------------------------------------------------------
+
+
+@query("SELECT date::VARCHAR AS date, ticker, open, high, low, close, volume FROM panel WHERE ticker = 'NATION_3' AND date BETWEEN DATE '1995-03-01' AND DATE '1997-03-01'")
+def prices_of_ticker(spark: SparkSession, sf: str) -> DataFrame:
+    return service.prices(b.panel(spark, sf), "nation_3", "1995-03-01", "1997-03-01").drop("source")
+
+
+@query("SELECT DISTINCT ticker FROM panel")
+def tickers(spark: SparkSession, sf: str) -> DataFrame:
+    return service.tickers(b.panel(spark, sf))
+
+
+@query(f"SELECT ticker, trade_date::VARCHAR AS trade_date, n_articles, {rs('sent_mean', 'sent_pos_share', 'sent_neg_share', 'sent_dispersion')} FROM {_SIGN} WHERE ticker = 'NATION_7' AND trade_date IS NOT NULL")
+def sentiment_of_ticker(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(service.sentiment(news.daily_sign_sentiment(b.placed_articles(spark, sf)).where("trade_date is not null"), "nation_7"))
+
+
+@query(f"SELECT ticker, date, {rs('close', 'change')} FROM (SELECT *, close / lag(close) {OVER} - 1 AS change, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS n FROM panel) WHERE n = 1")
+def last_changes(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(last_change(b.panel(spark, sf)))
+
+
 # --- scoring -------------------------------------------------------------------------------
 
 
@@ -758,10 +830,11 @@ def cached_scoring(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(totals.join(full_cache.agg(F.count("*").alias("n_texts"))).select("n_articles", "n_texts", "sum_score", "n_unscored"))
 
 
-@query("SELECT ticker, count(*) AS n_rows, min(trade_date) AS first_day, max(trade_date) AS last_day, count(DISTINCT trade_date) AS n_days FROM placed GROUP BY ticker")
+@query("SELECT ticker, count(*) AS n_rows, min(published_at)::VARCHAR AS first, max(published_at)::VARCHAR AS last, count(DISTINCT published_at::DATE) AS n_days FROM placed GROUP BY ticker")
 def coverage(spark: SparkSession, sf: str) -> DataFrame:
     """Per-ticker coverage report."""
-    return b.placed_articles(spark, sf).groupBy("ticker").agg(F.count("*").alias("n_rows"), F.min("trade_date").alias("first_day"), F.max("trade_date").alias("last_day"), F.countDistinct("trade_date").alias("n_days"))
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return article_coverage(b.placed_articles(spark, sf)).select("ticker", "n_rows", text("first"), text("last"), "n_days")
 
 
 @query(f"SELECT category, rank FROM {o.rows(tuple((c, i) for i, c in enumerate(CATEGORIES)), 'category, rank')}")

@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 import json
-import shutil
-from collections.abc import Iterable, Sequence
-from pathlib import Path
+from collections.abc import Callable, Iterable, Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 BARS = "▁▂▃▄▅▆▇█"
 
@@ -34,13 +32,34 @@ def markdown(title: str, table: DataFrame, columns: Sequence[str], top: int = 12
     return "\n".join(lines + ["| " + " | ".join(cell(v) for v in r) + " |" for r in rows]) + "\n"
 
 
+def in_order(table: DataFrame) -> DataFrame:
+    """``table`` in the order that outputs have: by ticker and date, then whatever else keys it. For sinks only."""
+    keys = [c for c in ("ticker", "date", "trade_date", "category", "horizon", "split") if c in table.columns]
+    return table.orderBy(*keys) if keys else table
+
+
 def write_phase(folder: str, name: str, tables: dict[str, DataFrame], summary: dict[str, Any]) -> None:
-    """Versioned tables and a JSON summary; without any rows only the summary is written and stale tables go."""
+    """Versioned tables in order and a JSON summary; without any rows only the summary is written and stale tables go.
+
+    All files are reached through Hadoop's file systems, so the folder may be in any store.
+    """
     for key, table in tables.items():
         path = f"{folder}/{name}_{key}_v1.parquet"
         if table.isEmpty():
-            shutil.rmtree(path, ignore_errors=True)
+            _file(table.sparkSession, path, lambda fs, at: fs.delete(at, True))
         else:
-            table.write.mode("overwrite").parquet(path)
-    Path(folder).mkdir(parents=True, exist_ok=True)
-    Path(folder, f"{name}_v1.json").write_text(json.dumps(summary, sort_keys=True, default=str))
+            in_order(table).write.mode("overwrite").parquet(path)
+    spark = next(iter(tables.values())).sparkSession if tables else SparkSession.active()
+    text = json.dumps(summary, sort_keys=True, default=str).encode()
+
+    def put(fs: Any, at: Any) -> None:
+        out = fs.create(at, True)
+        out.write(bytearray(text))
+        out.close()
+
+    _file(spark, f"{folder}/{name}_v1.json", put)
+
+
+def _file(spark: SparkSession, path: str, do: Callable[[Any, Any], Any]) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    do(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at)
