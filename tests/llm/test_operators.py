@@ -114,6 +114,15 @@ def test_removed(docs, none, hot, monkeypatch):
     assert kept.columns == docs.columns and kept.count() == docs.count()
 
 
+def test_removed_of_other_lengths_and_clashing_columns(docs):
+    assert sorted(tuple(r) for r in suffix_dedup.removed(docs, 300).collect()) == brute_removed(texts_of(docs), 300)
+    odd = docs.withColumns({"k1": F.lit(1), "spans": F.lit("s"), "a": F.lit(2.0), "c0_x": F.lit(3)})
+    kept = suffix_dedup.without_repeats(odd, 300)
+    sizes = Counter((r["doc_id"], len((r["text"] or "").encode())) for r in kept.collect())
+    assert kept.columns == odd.columns and kept.where("k1 = 1 and spans = 's' and a = 2 and c0_x = 3").count() == docs.count()
+    assert all(r[1] - r[2] >= min(n for d, n in sizes if d == r[0]) for r in brute_removed(texts_of(docs), 300))
+
+
 # 3 ------------------------------------------------------------------------------------------
 
 

@@ -1,14 +1,14 @@
-"""Suffix-array deduplication: remove every byte covered by a LENGTH-byte string that recurs.
+"""Suffix-array deduplication: remove every byte covered by a string of ``length`` bytes (LENGTH) that recurs.
 
 Finding the recurring strings is threshold-bounded interval expansion on a Burrows-Wheeler
 transform: starting from the interval of all suffixes, every interval is extended backwards by
 each character that precedes it, breadth first. Each new right boundary that an extension finds
 gets the current depth as its common-prefix value, so values come in increasing order, and the
-search stops at LENGTH: boundaries without a value have a common prefix of at least LENGTH.
+search stops at ``length``: boundaries without a value have a common prefix of at least that.
 
 One transform of a whole corpus would not be distributed, so the corpus is cut up without loss:
 
-1. Every LENGTH-byte window is assigned to the smallest hash of the GRAM-byte strings in it, its
+1. Every window of that length is assigned to the smallest hash of the GRAM-byte strings in it (fewer bytes in shorter windows), its
    anchor. Equal windows have equal anchors at equal places, so only windows that share an
    anchor can be equal. The windows of one anchor lie side by side and form a *context*.
 2. Contexts that are equal byte for byte (compared by hash, counted with map-side combine) are
@@ -19,14 +19,15 @@ One transform of a whole corpus would not be distributed, so the corpus is cut u
 4. Anchors with more than HOT different contexts, which could outgrow a task, are not brought
    together: the hashes of their single windows are counted instead, which has no hot groups.
 
-Edge cases: a null text is empty; a text shorter than LENGTH loses nothing. Rows that repeat
-(same id, same text) count as different places, so from LENGTH bytes on they lose everything.
+Edge cases: a null text is empty; a text shorter than ``length`` loses nothing. Rows that repeat
+(same id, same text) count as different places, so from ``length`` bytes on they lose everything.
 Overlapping recurrences within one document count. Matches never cross documents. An empty table
 gives an empty result. Extra columns are ignored by ``removed`` and kept by ``without_repeats``.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -39,6 +40,7 @@ from tidemark.llm._bytes import SLICE_BYTES, binary_views, mix64, prefix_hash, s
 from tidemark.llm._common import bind_batches, written
 
 LENGTH = 400
+#: Bytes of an anchor for windows of LENGTH; in proportion for others.
 GRAM = 128
 CELL = 32
 HOT = 1000
@@ -132,19 +134,20 @@ def recurring(parts: list[np.ndarray], depth: int = LENGTH) -> list[np.ndarray]:
 # --- anchors -------------------------------------------------------------------------------
 
 
-def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+def anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
     """Contexts of texts that lie one behind the other in ``data`` and end at ``ends``.
 
     Arrays: first window, number of windows, place of the anchor behind the first window, hash of
     the anchor, hash of the context.
     """
-    n, w = len(data), LENGTH - GRAM + 1
+    gram = GRAM * length // LENGTH
+    n, w = len(data), length - gram + 1
     none = tuple(np.zeros(0, np.int64) for _ in range(5))
-    if n < LENGTH:
+    if n < length:
         return none
     q = prefix_hash(data)
-    i = np.arange(n - GRAM + 1)
-    grams = span_hash(q, i, i + GRAM)
+    i = np.arange(n - gram + 1)
+    grams = span_hash(q, i, i + gram)
     key = (grams & ~_LOW) | i.astype(np.uint64)
     m = len(key)
     padded = np.full(-(-m // w) * w, ~np.uint64(0))
@@ -155,7 +158,7 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     count = m - w + 1
     at = (np.minimum(behind[:count], ahead[w - 1 : w - 1 + count]) & _LOW).astype(np.int64)
     owner = np.searchsorted(ends, np.arange(count), side="right")
-    good = np.arange(count) + LENGTH <= ends[owner]
+    good = np.arange(count) + length <= ends[owner]
     change = np.concatenate([[True], (np.diff(at) != 0) | (np.diff(owner) != 0)])
     first = np.flatnonzero(good & (change | ~np.concatenate([[False], good[:-1]])))
     last = np.flatnonzero(good & np.append(change[1:] | ~good[1:], True))
@@ -163,7 +166,7 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
         return none
     place = at[first] - first
     size = last - first + 1
-    whole = span_hash(q, first, last + LENGTH)
+    whole = span_hash(q, first, last + length)
     context = mix64(whole + mix64(place.astype(np.uint64) * np.uint64(1 << 20) + size.astype(np.uint64)))
     return first, size, place, grams[at[first]].view(np.int64), context.view(np.int64)
 
@@ -171,17 +174,17 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
 _ANCHOR = "k1 long, k2 long, lo long, n int, place int, a long, c long"
 
 
-def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     names = ["k1", "k2", "lo", "n", "place", "a", "c"]
     for batch in batches:
         data, offsets = binary_views(batch.column("text"))
         k1, k2 = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("k1", "k2"))
         for a, b in slices(offsets):
             lo, hi = int(offsets[a]), int(offsets[b])
-            for s in range(lo, max(hi - LENGTH + 1, lo + 1), SLICE_BYTES) if b == a + 1 else [lo]:
-                e = min(s + SLICE_BYTES + LENGTH - 1, hi) if b == a + 1 else hi
+            for s in range(lo, max(hi - length + 1, lo + 1), SLICE_BYTES) if b == a + 1 else [lo]:
+                e = min(s + SLICE_BYTES + length - 1, hi) if b == a + 1 else hi
                 ends = np.array([e - s]) if b == a + 1 else offsets[a + 1 : b + 1] - lo
-                first, size, place, gram, context = anchors(data[s:e], ends)
+                first, size, place, gram, context = anchors(data[s:e], ends, length)
                 if not len(first):
                     continue
                 row = a + np.searchsorted(ends, first, side="right")
@@ -195,7 +198,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _CONTEXT = "a long, c long, n int, place int, text binary, windows array<long>"
 
 
-def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _context_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """The bytes of each listed context, or the hashes of its windows where its anchor is hot."""
     schema = pa.schema([("a", pa.int64()), ("c", pa.int64()), ("n", pa.int32()), ("place", pa.int32()), ("text", pa.binary()), ("windows", pa.list_(pa.int64()))])
     for batch in batches:
@@ -203,22 +206,22 @@ def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
             raw = (text or "").encode("utf-8", "replace")
             for x in wanted:
-                part = raw[x["lo"] : x["lo"] + x["n"] + LENGTH - 1]
+                part = raw[x["lo"] : x["lo"] + x["n"] + length - 1]
                 hashes = None
                 if x["hot"]:
                     q = prefix_hash(np.frombuffer(part, np.uint8))
                     i = np.arange(x["n"])
-                    hashes, part = span_hash(q, i, i + LENGTH).view(np.int64), None
+                    hashes, part = span_hash(q, i, i + length).view(np.int64), None
                 rows.append((x["a"], x["c"], x["n"], x["place"], part, hashes))
         for i in range(0, len(rows), 2000):
             yield pa.RecordBatch.from_arrays([pa.array(list(col), f.type) for col, f in zip(zip(*rows[i : i + 2000], strict=True), schema, strict=True)], schema=schema)
 
 
-def _cells(rows: list[tuple]) -> list[tuple[int, int]]:
+def _cells(rows: list[tuple], length: int) -> list[tuple[int, int]]:
     """For each context the run of windows that could match another context of its anchor; (0, 0) if none.
 
     All windows whose anchor lies CELL*g .. CELL*g+CELL-1 bytes behind their start have the same
-    LENGTH-CELL+1 bytes in common; if no other context has these bytes there, none of the
+    length-CELL+1 bytes in common; if no other context has these bytes there, none of the
     windows recurs.
     """
     data = np.frombuffer(b"".join(r[4] for r in rows), np.uint8)
@@ -229,7 +232,7 @@ def _cells(rows: list[tuple]) -> list[tuple[int, int]]:
     ctx = np.repeat(np.arange(len(rows)), count)
     g = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
     s = begin[ctx] + place[ctx] - CELL * g
-    key = mix64(span_hash(prefix_hash(data), s, s + LENGTH - CELL + 1) + mix64(a[ctx].view(np.uint64) + g.astype(np.uint64)))
+    key = mix64(span_hash(prefix_hash(data), s, s + length - CELL + 1) + mix64(a[ctx].view(np.uint64) + g.astype(np.uint64)))
     _, which, times = np.unique(key, return_inverse=True, return_counts=True)
     shared = times[which] > 1
     w0 = np.maximum(place[ctx] - CELL * g - CELL + 1, 0)[shared]
@@ -246,14 +249,14 @@ def _runs(flags: np.ndarray, shift: int) -> list[int]:
     return np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1], axis=1).ravel().__add__(shift).tolist()
 
 
-def _transform_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _transform_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Runs of recurring windows of contexts that arrive sorted by anchor."""
     schema = pa.schema([("a", pa.int64()), ("c", pa.int64()), ("runs", pa.list_(pa.int32()))])
 
     def solve(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        spans = _cells(rows)
+        spans = _cells(rows, length)
         live = [(r, lo, hi) for r, (lo, hi) in zip(rows, spans, strict=True) if hi > lo]
-        flags = recurring([np.frombuffer(r[4], np.uint8)[lo : hi + LENGTH - 1] for r, lo, hi in live])
+        flags = recurring([np.frombuffer(r[4], np.uint8)[lo : hi + length - 1] for r, lo, hi in live], length)
         out = [(r[0], r[1], _runs(f, lo)) for (r, lo, _), f in zip(live, flags, strict=True) if f.any()]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(list(col), f.type) for col, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
@@ -276,29 +279,29 @@ def _transform_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 # --- the result ----------------------------------------------------------------------------
 
 
-def _coverage(length: int, spans: list) -> np.ndarray:
+def _coverage(size: int, spans: list, length: int) -> np.ndarray:
     """Which bytes of a text are covered by the recurring windows listed as (lo, runs)."""
-    edge = np.zeros(length + 1, np.int32)
+    edge = np.zeros(size + 1, np.int32)
     for x in spans:
         runs = np.array(x["runs"], np.int64).reshape(-1, 2) + x["lo"]
         np.add.at(edge, runs[:, 0], 1)
-        np.add.at(edge, np.minimum(runs[:, 1] + LENGTH, length), -1)
+        np.add.at(edge, np.minimum(runs[:, 1] + length, size), -1)
     return np.cumsum(edge[:-1]) > 0
 
 
-def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def repeats(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
     """(rows with k1, k2 keys, spans by key): where windows recur, per distinct (doc_id, text)."""
     bind_batches(docs.sparkSession, 1000)
     rows = docs.withColumn("k1", F.xxhash64(F.lit(1), "doc_id", "text")).withColumn("k2", F.xxhash64(F.lit(2), "text", "doc_id"))
     texts = rows.select("k1", "k2", "text")
-    found = written(texts.mapInArrow(_anchor_rows, _ANCHOR))
+    found = written(texts.mapInArrow(functools.partial(_anchor_rows, length=length), _ANCHOR))
     contexts = found.groupBy("a", "c").agg(F.count("*").alias("times"), F.min(F.struct("k1", "k2", "lo", "n", "place")).alias("at"))
     contexts = written(contexts.select("a", "c", "times", "at.*"))
     several = contexts.groupBy("a").agg(F.count("*").alias("m")).where("m > 1")
     contested = contexts.join(several, "a").select("k1", "k2", F.struct("a", "c", "lo", "n", "place", (F.col("m") > HOT).alias("hot")).alias("x"))
     lists = contested.groupBy("k1", "k2").agg(F.collect_list("x").alias("wanted"))  # of one text: bounded by its length
-    parts = written(texts.join(lists, ["k1", "k2"]).select("text", "wanted").mapInArrow(_context_rows, _CONTEXT))
-    solved = parts.where("text is not null").select("a", "c", "n", "place", "text").repartition("a").sortWithinPartitions("a", "c").mapInArrow(_transform_rows, "a long, c long, runs array<int>")
+    parts = written(texts.join(lists, ["k1", "k2"]).select("text", "wanted").mapInArrow(functools.partial(_context_rows, length=length), _CONTEXT))
+    solved = parts.where("text is not null").select("a", "c", "n", "place", "text").repartition("a").sortWithinPartitions("a", "c").mapInArrow(functools.partial(_transform_rows, length=length), "a long, c long, runs array<int>")
     single = parts.where("text is null").select("a", "c", "place", F.posexplode("windows").alias("w", "h")).withColumn("o", F.col("place") - F.col("w"))
     twice = single.groupBy("a", "o", "h").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("a", "o", "h")
     hot = single.join(twice, ["a", "o", "h"]).groupBy("a", "c").agg(F.flatten(F.collect_set(F.array("w", "w"))).alias("runs"))
@@ -308,9 +311,9 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, spans
 
 
-def removed(docs: DataFrame) -> DataFrame:
+def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row."""
-    rows, spans = repeats(docs.select("doc_id", "text"))
+    rows, spans = repeats(docs.select("doc_id", "text"), length)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,7 +324,7 @@ def removed(docs: DataFrame) -> DataFrame:
                 gone, n_spans = 0, 0
                 kept = raw
                 if found:
-                    cover = _coverage(len(raw), found)
+                    cover = _coverage(len(raw), found, length)
                     gone = int(cover.sum())
                     n_spans = int((np.diff(np.concatenate([[0], cover.astype(np.int8)])) == 1).sum())
                     kept = np.frombuffer(raw, np.uint8)[~cover].tobytes()
@@ -334,21 +337,24 @@ def removed(docs: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` with the recurring bytes cut out of ``text`` (what is left of a cut character goes too) and n_chars anew."""
-    rows, spans = repeats(docs)
     columns = docs.columns
+    inner = docs.toDF(*[f"c{i}_{'text' if c == 'text' else 'doc_id' if c == 'doc_id' else 'x'}" for i, c in enumerate(columns)])  # extra columns may have any name
+    text, key = (inner.columns[columns.index(c)] for c in ("text", "doc_id"))
+    rows, spans = repeats(inner.withColumn("text", F.col(text)).withColumn("doc_id", F.col(key)), length)
+    given = inner.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, found in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            for value, found in zip(batch.column(text).to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 if found:
-                    raw = text.encode("utf-8", "replace")
-                    text = np.frombuffer(raw, np.uint8)[~_coverage(len(raw), found)].tobytes().decode("utf-8", "ignore")
-                out.append(text)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == "text" else batch.column(c) for c in columns], columns)
+                    raw = value.encode("utf-8", "replace")
+                    value = np.frombuffer(raw, np.uint8)[~_coverage(len(raw), found, length)].tobytes().decode("utf-8", "ignore")
+                out.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == text else batch.column(c) for c in given], given)
 
-    kept = rows.join(spans, ["k1", "k2"], "left").select(*columns, "spans")
-    done = kept.mapInArrow(run, docs.schema)
+    kept = rows.join(spans, ["k1", "k2"], "left").select(*given, "spans")
+    done = kept.mapInArrow(run, inner.schema).toDF(*columns)
     return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else done
