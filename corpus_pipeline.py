@@ -18,8 +18,8 @@ from tidemark.llm import mixing, order_minhash, piece_transducer, quality_mil, s
 from tidemark.llm._common import cut
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Bytes of a passage of some fifty-odd words; one that recurs is cut out.
-PASSAGE_BYTES = 330
+#: Bytes of a passage of some fifty words; one that recurs is cut out.
+PASSAGE_BYTES = 300
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
