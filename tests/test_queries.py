@@ -8,7 +8,7 @@ from tidemark.plans.queries import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
-CHECKED = ["abnormal_returns", "session_bucketing", "seam_backward_mask", "category_summary", "backtest_equity", "classification_metrics", "split_plan", "validate_drop_reasons"]
+CHECKED = ["abnormal_returns", "session_bucketing", "seam_backward_mask", "category_summary", "backtest_equity", "classification_metrics", "split_plan", "validate_drop_reasons", "training_matrix", "matrix_exclusions", "feature_null_counts"]
 
 
 def cells(df):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.constants import CATEGORIES, HEADLINE_RULES, NEGATIVE, OUTCOME_HORIZONS, POSITIVE
+from tidemark.constants import CATEGORIES, HEADLINE_RULES, LOOKBACK, NEGATIVE, NEWS_FEATURES, OUTCOME_HORIZONS, POSITIVE
 from tidemark.functions.maths import by, full, ratio
 from tidemark.functions.text import article_id, headline_category, lexicon_score
 from tidemark.operators import backtest, current, indicators, learning, news, outcomes, quality, rolling, scoring, seams, statistics, summaries
@@ -656,17 +656,67 @@ def _matrix(spark: SparkSession, sf: str, horizon: int = 5) -> DataFrame:
     return learning.training_matrix(features, news.daily_label_sentiment(b.placed_articles(spark, sf).where("trade_date is not null")), horizon, checked=False)
 
 
-@query()
+def _avg(col: str, rows: int) -> str:
+    return gated("avg", col, rows)
+
+
+def _over(a: str, c: str) -> str:
+    return f"{a} / nullif({c}, 0)"
+
+
+#: Each indicator over ``x`` (bars with returns, true range, signed volume, MACD and Wilder means).
+_FEATURES = {
+    **{c: c for c in ("ret_1d", "ret_5d", "ret_21d", "macd", "macd_signal")},
+    "vol_21d": gated("stddev_samp", "ret_1d", 21),
+    "vol_63d": gated("stddev_samp", "ret_1d", 63),
+    "rsi_14": "100 - 100 / (1 + g / nullif(l, 0))",
+    "macd_hist": "macd - macd_signal",
+    "sma_20": _avg("close", 20),
+    "sma_50": _avg("close", 50),
+    "sma_ratio_20_50": f"{_over(_avg('close', 20), _avg('close', 50))} - 1",
+    "bb_zscore_20": _over(f"(close - {_avg('close', 20)})", gated("stddev_samp", "close", 20)),
+    "atr_14": _avg("tr", 14),
+    "volume_zscore_21": _over(f"(volume - {_avg('volume', 21)})", gated("stddev_samp", "volume", 21)),
+    "obv_delta_5d": _OBV,
+    "day_of_week": "isodow(date)::INT - 1",
+    "close_to_sma20": f"{_over('close', _avg('close', 20))} - 1",
+    "close_to_sma50": f"{_over('close', _avg('close', 50))} - 1",
+    "macd_norm": _over("macd", "close"),
+    "macd_signal_norm": _over("macd_signal", "close"),
+    "macd_hist_norm": _over("(macd - macd_signal)", "close"),
+    "atr_pct": _over(_avg("tr", 14), "close"),
+    "obv_delta_norm": _over(f"({_OBV})", f"{_avg('volume', 21)} * 5"),
+}
+_BARS = ("open", "high", "low", "close", "volume")
+#: Quotients of whole numbers often lie half-way between two values of six places.
+_FINE = (*_BARS, "obv_delta_norm")
+_NEWS = f"(SELECT ticker, trade_date AS date, avg(score) AS mean_sentiment, {', '.join(f"avg((label = '{k}')::INT) AS {k}_ratio" for k in ('positive', 'negative', 'neutral'))}, count(*) AS article_count FROM placed WHERE trade_date IS NOT NULL GROUP BY ALL)"
+_MASKED = ", ".join(f"CASE WHEN coalesce(since, {seams.NEVER}) > {LOOKBACK[c] - 2} THEN {c} END AS {c}" for c in _FEATURES)
+_MATRIX = f"""(WITH x AS (SELECT p.*, macd, macd_signal, g, l, since, CASE WHEN coalesce(ahead, {seams.NEVER}) > 5 THEN fwd END AS fwd_ret_5d, {', '.join(f'p.{_ret(k).replace("lag(close", "lag(p.close").replace(OVER, "OVER w")} AS ret_{k}d' for k in (1, 5, 21))},
+    greatest(p.high - p.low, abs(p.high - lag(p.close) OVER w), abs(p.low - lag(p.close) OVER w)) AS tr, coalesce(sign(p.close - lag(p.close) OVER w), 0) * p.volume AS sv, row_number() OVER w AS rn
+    FROM panel p JOIN {_MACD} m USING (date, ticker) JOIN {_RSI} r USING (date, ticker) JOIN {_SEAMED} s USING (date, ticker) WINDOW w AS (PARTITION BY p.ticker ORDER BY p.date)),
+  y AS (SELECT date, ticker, {', '.join(_BARS)}, source, since, fwd_ret_5d, {', '.join(f'{e} AS {c}' for c, e in _FEATURES.items())} FROM x),
+  z AS (SELECT date, ticker, {', '.join(_BARS)}, source, fwd_ret_5d, CASE WHEN fwd_ret_5d IS NOT NULL THEN (fwd_ret_5d > 0)::INT::DOUBLE END AS label_up_5d, {_MASKED} FROM y)
+  SELECT z.*, {', '.join(f'coalesce({c}, 0) AS {c}' for c in NEWS_FEATURES)}, article_count IS NOT NULL AS has_news,
+    CASE WHEN label_up_5d IS NULL THEN 'no_label' WHEN {' OR '.join(f'{c} IS NULL' for c in learning.TECHNICAL)} THEN 'feature_null' END AS exclusion
+  FROM z LEFT JOIN {_NEWS} n USING (date, ticker))"""
+
+
+@query(f"""SELECT date, ticker, source, day_of_week, article_count, has_news, exclusion, {', '.join(f'round({c}, 9) AS {c}' for c in _FINE)}, {rs('fwd_ret_5d', 'label_up_5d', *[c for c in _FEATURES if c not in ('day_of_week', *_FINE)], *[c for c in NEWS_FEATURES if c != 'article_count'])}
+  FROM {_MATRIX}""")
 def training_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(_matrix(spark, sf))
+    matrix = _matrix(spark, sf)
+    return matrix.select(*[F.round(c, 9 if c in _FINE else DIGITS).alias(c) if t == "double" else F.col(c) for c, t in matrix.dtypes])
 
 
-@query()
+@query(f"""SELECT count(*) AS n_rows, count(*) FILTER (exclusion = 'no_label') AS n_no_label, count(*) FILTER (exclusion = 'feature_null') AS n_feature_null,
+  count(*) FILTER (exclusion IS NULL) AS n_kept, count(*) FILTER (exclusion IS NULL AND has_news) AS n_with_news, count(DISTINCT ticker) FILTER (exclusion IS NULL) AS n_tickers,
+  min(date) FILTER (exclusion IS NULL) AS first_session, max(date) FILTER (exclusion IS NULL) AS last_session, {r('avg(label_up_5d) FILTER (exclusion IS NULL)', 'positive_share')} FROM {_MATRIX}""")
 def matrix_exclusions(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(learning.matrix_stats(_matrix(spark, sf), 5))
 
 
-@query()
+@query(f"WITH mx AS MATERIALIZED (SELECT * FROM {_MATRIX} WHERE label_up_5d IS NOT NULL) " + " UNION ALL ".join(f"SELECT '{c}' AS feature, count(*) FILTER ({c} IS NULL) AS n_null FROM mx" for c in learning.TECHNICAL))
 def feature_null_counts(spark: SparkSession, sf: str) -> DataFrame:
     return learning.null_counts(_matrix(spark, sf), 5)
 
