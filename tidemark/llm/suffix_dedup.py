@@ -12,7 +12,8 @@ One transform of a whole corpus would not be distributed, so the corpus is cut u
    anchor. Equal windows have equal anchors at equal places, so only windows that share an
    anchor can be equal. The windows of one anchor lie side by side and form a *context*.
 2. Contexts that are equal byte for byte (compared by hash, counted with map-side combine) are
-   one context with a count. With a count above one, all its windows recur.
+   one context with a count. With a count above one, all its windows recur, wherever it lies; a
+   context of one place carries that place along, so what the next steps find needs no look-up.
 3. Anchors that have several different contexts are brought together, and the transform runs
    over those contexts only, bucket by bucket: no bucket needs more than its own anchors, and
    parts that no other context of the anchor can match are dropped first.
@@ -195,15 +196,16 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
 
 # --- contested contexts --------------------------------------------------------------------
 
-_CONTEXT = "a long, c long, n int, place int, text binary, windows array<long>"
+_CONTEXT = "a long, c long, n int, place int, k1 long, k2 long, lo long, text binary, windows array<long>"
 
 
 def _context_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """The bytes of each listed context, or the hashes of its windows where its anchor is hot."""
-    schema = pa.schema([("a", pa.int64()), ("c", pa.int64()), ("n", pa.int32()), ("place", pa.int32()), ("text", pa.binary()), ("windows", pa.list_(pa.int64()))])
+    """The bytes of each listed context, or the hashes of its windows where its anchor is hot; its place (k1, k2, lo) if it has only one."""
+    long, short = pa.int64(), pa.int32()
+    schema = pa.schema([("a", long), ("c", long), ("n", short), ("place", short), ("k1", long), ("k2", long), ("lo", long), ("text", pa.binary()), ("windows", pa.list_(long))])
     for batch in batches:
         rows = []
-        for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
+        for k1, k2, text, wanted in zip(*(batch.column(k).to_pylist() for k in ("k1", "k2", "text", "wanted")), strict=True):
             raw = (text or "").encode("utf-8", "replace")
             for x in wanted:
                 part = raw[x["lo"] : x["lo"] + x["n"] + length - 1]
@@ -212,7 +214,7 @@ def _context_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa
                     q = prefix_hash(np.frombuffer(part, np.uint8))
                     i = np.arange(x["n"])
                     hashes, part = span_hash(q, i, i + length).view(np.int64), None
-                rows.append((x["a"], x["c"], x["n"], x["place"], part, hashes))
+                rows.append((x["a"], x["c"], x["n"], x["place"], *((k1, k2, x["lo"]) if x["once"] else (None, None, None)), part, hashes))
         for i in range(0, len(rows), 2000):
             yield pa.RecordBatch.from_arrays([pa.array(list(col), f.type) for col, f in zip(zip(*rows[i : i + 2000], strict=True), schema, strict=True)], schema=schema)
 
@@ -224,8 +226,8 @@ def _cells(rows: list[tuple], length: int) -> list[tuple[int, int]]:
     length-CELL+1 bytes in common; if no other context has these bytes there, none of the
     windows recurs.
     """
-    data = np.frombuffer(b"".join(r[4] for r in rows), np.uint8)
-    begin = np.concatenate([[0], np.cumsum([len(r[4]) for r in rows])])[:-1]
+    data = np.frombuffer(b"".join(r[-1] for r in rows), np.uint8)
+    begin = np.concatenate([[0], np.cumsum([len(r[-1]) for r in rows])])[:-1]
     a, n, place = (np.array([r[i] for r in rows], np.int64) for i in (0, 2, 3))
     low, high = (place - n + 1) // CELL, place // CELL
     count = high - low + 1
@@ -250,28 +252,28 @@ def _runs(flags: np.ndarray, shift: int) -> list[int]:
 
 
 def _transform_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Runs of recurring windows of contexts that arrive sorted by anchor."""
-    schema = pa.schema([("a", pa.int64()), ("c", pa.int64()), ("runs", pa.list_(pa.int32()))])
+    """Runs of recurring windows of the contexts of one place; all contexts arrive sorted by anchor."""
+    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("lo", pa.int64()), ("runs", pa.list_(pa.int32()))])
 
     def solve(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         spans = _cells(rows, length)
         live = [(r, lo, hi) for r, (lo, hi) in zip(rows, spans, strict=True) if hi > lo]
-        flags = recurring([np.frombuffer(r[4], np.uint8)[lo : hi + length - 1] for r, lo, hi in live], length)
-        out = [(r[0], r[1], _runs(f, lo)) for (r, lo, _), f in zip(live, flags, strict=True) if f.any()]
+        flags = recurring([np.frombuffer(r[-1], np.uint8)[lo : hi + length - 1] for r, lo, hi in live], length)
+        out = [(*r[4:7], _runs(f, lo)) for (r, lo, _), f in zip(live, flags, strict=True) if r[4] is not None and f.any()]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(list(col), f.type) for col, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     held: list[tuple] = []
     size = 0
     for batch in batches:
-        for r in zip(*(batch.column(k).to_pylist() for k in ("a", "c", "n", "place", "text")), strict=True):
+        for r in zip(*(batch.column(k).to_pylist() for k in ("a", "c", "n", "place", "k1", "k2", "lo", "text")), strict=True):
             if held and r[:2] == held[-1][:2]:
                 continue  # the context of an equal row
             if size >= BUCKET_BYTES and r[0] != held[-1][0]:
                 yield from solve(held)
                 held, size = [], 0
             held.append(r)
-            size += len(r[4])
+            size += len(r[-1])
     if held:
         yield from solve(held)
 
@@ -298,16 +300,16 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame
     contexts = found.groupBy("a", "c").agg(F.count("*").alias("times"), F.min(F.struct("k1", "k2", "lo", "n", "place")).alias("at"))
     contexts = written(contexts.select("a", "c", "times", "at.*"))
     several = contexts.groupBy("a").agg(F.count("*").alias("m")).where("m > 1")
-    contested = contexts.join(several, "a").select("k1", "k2", F.struct("a", "c", "lo", "n", "place", (F.col("m") > HOT).alias("hot")).alias("x"))
+    contested = contexts.join(several, "a").select("k1", "k2", F.struct("a", "c", "lo", "n", "place", (F.col("m") > HOT).alias("hot"), (F.col("times") == 1).alias("once")).alias("x"))
     lists = contested.groupBy("k1", "k2").agg(F.collect_list("x").alias("wanted"))  # of one text: bounded by its length
-    parts = written(texts.join(lists, ["k1", "k2"]).select("text", "wanted").mapInArrow(functools.partial(_context_rows, length=length), _CONTEXT))
-    solved = parts.where("text is not null").select("a", "c", "n", "place", "text").repartition("a").sortWithinPartitions("a", "c").mapInArrow(functools.partial(_transform_rows, length=length), "a long, c long, runs array<int>")
-    single = parts.where("text is null").select("a", "c", "place", F.posexplode("windows").alias("w", "h")).withColumn("o", F.col("place") - F.col("w"))
+    parts = written(texts.join(lists, ["k1", "k2"]).mapInArrow(functools.partial(_context_rows, length=length), _CONTEXT))
+    solved = parts.where("text is not null").drop("windows").repartition("a").sortWithinPartitions("a", "c").mapInArrow(functools.partial(_transform_rows, length=length), "k1 long, k2 long, lo long, runs array<int>")
+    single = parts.where("text is null").select("a", "c", "k1", "k2", "lo", "place", F.posexplode("windows").alias("w", "h")).withColumn("o", F.col("place") - F.col("w"))
     twice = single.groupBy("a", "o", "h").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("a", "o", "h")
-    hot = single.join(twice, ["a", "o", "h"]).groupBy("a", "c").agg(F.flatten(F.collect_set(F.array("w", "w"))).alias("runs"))
-    whole = contexts.where("times > 1").select("a", "c", F.expr("array(0, n - 1)").alias("runs"))
+    hot = single.where("k1 is not null").join(twice, ["a", "o", "h"], "left_semi").groupBy("k1", "k2", "lo").agg(F.flatten(F.collect_list(F.array("w", "w"))).alias("runs"))
+    whole = found.join(contexts.where("times > 1").select("a", "c"), ["a", "c"], "left_semi").select("k1", "k2", "lo", F.expr("array(0, n - 1)").alias("runs"))
     marks = whole.unionByName(solved).unionByName(hot)
-    spans = found.join(marks, ["a", "c"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "runs")).alias("spans"))
+    spans = marks.groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "runs")).alias("spans"))  # a set: equal rows have the same spans
     return rows, spans
 
 
