@@ -15,6 +15,7 @@ from tidemark.operators.calendar import assign_trade_dates, business_day, sessio
 from tidemark.plans import bindings as b
 from tidemark.plans import oracle as o
 from tidemark.plans import service, workflows
+from tidemark.session import cut
 from tidemark.sources.news import coverage as article_coverage
 from tidemark.sources.panel import last_change
 
@@ -601,9 +602,11 @@ def concentration(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT metric, count(*) FILTER (diff_significant_fdr AND intervals_disjoint) AS n_established, (SELECT count(*) FROM (SELECT category, horizon FROM {_TC} WHERE diff_significant_fdr AND intervals_disjoint GROUP BY ALL HAVING count(*) = 2)) AS n_on_both FROM {_TC} GROUP BY metric")
 def established_changes(spark: SparkSession, sf: str) -> DataFrame:
-    change = rolling.temporal_change(rolling.rolling_categories(b.events(spark, sf))).persist()  # cells of a report, read three times
-    both = rolling.established_on_both(change).count()  # cells of a report
-    return change.groupBy("metric").agg(F.count_if("change_established").alias("n_established")).withColumn("n_on_both", F.lit(both).cast("long"))
+    # Cells of a report. Each step reads the one before it several times: uncut, the plans multiply to more than a driver holds.
+    cells = cut(rolling.rolling_categories(cut(b.events(spark, sf))))
+    change = cut(rolling.temporal_change(cells))
+    both = rolling.established_on_both(change).agg(F.count("*").alias("n_on_both"))
+    return change.groupBy("metric").agg(F.count_if("change_established").alias("n_established")).join(F.broadcast(both))
 
 
 # --- current events ------------------------------------------------------------------------
