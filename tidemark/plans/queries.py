@@ -35,9 +35,17 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def nearest(c: str, digits: int = DIGITS) -> Column:
+    """A double to so many places as the SQL engine rounds: the scaled double, halves away from zero (``round`` goes by the decimal digits)."""
+    scaled = F.col(c) * float(10**digits)
+    off = scaled - F.rint(scaled)
+    whole = F.rint(scaled) + F.when((off == 0.5) & (scaled > 0), 1.0).when((off == -0.5) & (scaled < 0), -1.0).otherwise(0.0)
+    return F.when(F.abs(scaled) < float("inf"), whole / float(10**digits)).otherwise(F.col(c))
+
+
 def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     """Doubles to so many places: sums may be taken in any order."""
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[nearest(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def r(expression: str, name: str) -> str:
@@ -709,7 +717,7 @@ _MATRIX = f"""(WITH x AS (SELECT p.*, macd, macd_signal, g, l, since, CASE WHEN
   FROM {_MATRIX}""")
 def training_matrix(spark: SparkSession, sf: str) -> DataFrame:
     matrix = _matrix(spark, sf)
-    return matrix.select(*[F.round(c, 9 if c in _FINE else DIGITS).alias(c) if t == "double" else F.col(c) for c, t in matrix.dtypes])
+    return matrix.select(*[nearest(c, 9 if c in _FINE else DIGITS).alias(c) if t == "double" else F.col(c) for c, t in matrix.dtypes])
 
 
 @query(f"""SELECT count(*) AS n_rows, count(*) FILTER (exclusion = 'no_label') AS n_no_label, count(*) FILTER (exclusion = 'feature_null') AS n_feature_null,
