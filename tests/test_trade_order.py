@@ -8,7 +8,7 @@ from tests.test_queries import SF
 from tidemark.plans.queries import ORACLE, QUERIES, nearest
 
 #: Queries on opens and closes, each found to differ from its SQL on tables with larger keys.
-CHECKED = ["panel_bars", "abnormal_returns", "adjust_prices", "bollinger", "buy_hold", "event_outcome_join", "forward_returns_calendar", "forward_returns_positional", "labels", "macd", "outcomes_wide", "repair_seam"]
+CHECKED = ["panel_bars", "abnormal_returns", "adjust_prices", "bollinger", "buy_hold", "event_outcome_join", "forward_returns_calendar", "forward_returns_positional", "labels", "macd", "outcomes_wide", "repair_seam", "returns_multi"]
 
 
 @pytest.fixture(scope="module")
