@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm._bytes import binary_views, joined, mix64, powers, prefix_hash, slices, span_hash, words_of
-from tidemark.llm._common import bind_batches, discard, free_name, small_plans, written
+from tidemark.llm._common import bind_batches, discard, free_name, lean, small_plans, written
 from tidemark.llm._graph import components
 
 WORDS = 5
@@ -216,7 +216,7 @@ def groups(docs: DataFrame) -> DataFrame:
     bind_batches(spark, 1000)
     rows = docs.select(F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("uid"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sketched = written(rows.mapInArrow(_sketch_rows, f"uid binary, doc_id {kind}, size int, bands array<long>"))
+    sketched = written(rows.mapInArrow(lean(_sketch_rows), f"uid binary, doc_id {kind}, size int, bands array<long>"))
     texts = sketched.groupBy("uid").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("times"), F.min("size").alias("size"), F.min("bands").alias("bands"))
     texts = written(texts.withColumn("num", F.monotonically_increasing_id()))  # numbered once: the table is read from here on
     place = _components(rows, texts)
@@ -235,13 +235,13 @@ def _components(rows: DataFrame, texts: DataFrame) -> DataFrame:
     wanted = found.select("num").distinct().join(texts.select("num", "uid", "first_id"), "num")
     chosen = rows.join(wanted, (rows["uid"] == wanted["uid"]) & rows["doc_id"].eqNullSafe(wanted["first_id"])).select("num", "text")
     # One row of each text; the same id may repeat with the same text.
-    sequences = written(chosen.mapInArrow(_sequence_rows, "num long, seq binary").groupBy("num").agg(F.min("seq").alias("seq")))
+    sequences = written(chosen.mapInArrow(lean(_sequence_rows), "num long, seq binary").groupBy("num").agg(F.min("seq").alias("seq")))
 
     def settle(place: DataFrame, asked: DataFrame) -> DataFrame:
         """``place`` after aligning the pairs ``asked`` (u, v)."""
         one = sequences.select(F.col("num").alias("u"), F.col("seq").alias("a"))
         two = sequences.select(F.col("num").alias("v"), F.col("seq").alias("b"))
-        links = asked.join(one, "u").join(two, "v").select("u", "v", "a", "b").mapInArrow(_verified, "u long, v long")
+        links = asked.join(one, "u").join(two, "v").select("u", "v", "a", "b").mapInArrow(lean(_verified), "u long, v long")
         ends = links.join(place.select(F.col("num").alias("u"), F.col("root").alias("ru")), "u").join(place.select(F.col("num").alias("v"), F.col("root").alias("rv")), "v")
         joins = written(ends.where("ru <> rv").select(F.col("ru").alias("u"), F.col("rv").alias("v")).distinct())
         if joins.isEmpty():
@@ -284,7 +284,7 @@ def _overlap_needed(n: Column, m: Column) -> Column:
 
 def _rarity(sequences: DataFrame) -> DataFrame:
     """num, size, rare (number of rare k-mers), first (k-mers that no other text has), prefix (its other rare k-mers, in order)."""
-    tokens = sequences.select("num", "seq").mapInArrow(_token_rows, "num long, size int, token long")
+    tokens = sequences.select("num", "seq").mapInArrow(lean(_token_rows), "num long, size int, token long")
     spread = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
     shared = tokens.join(spread, "token")
     each = shared.groupBy("num", "size").agg(

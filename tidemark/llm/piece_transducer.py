@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm._common import bind_batches
+from tidemark.llm._common import bind_batches, lean
 
 MARK = "▁"
 #: Vocabulary used by the queries (a public one; never copied into this repository).
@@ -411,7 +411,7 @@ def with_ids(docs: DataFrame, path: str = MODEL, keep_ids: bool = True) -> DataF
                 piece = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*[piece.column(c) for c in columns], *out], [*columns, *made])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def encode_all(docs: DataFrame, path: str = MODEL) -> DataFrame:
