@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.constants import ADEQUATE_EVENTS, CATEGORIES, EXPLORATORY_EVENTS, EXPLORATORY_HORIZONS, MIN_EVENTS, MIN_OTHER_DATES, MIN_OVERLAP, MIN_TICKERS, OTHER, OUTCOME_HORIZONS, SHRINK_TICKERS
+from tidemark.functions.maths import ratio
 from tidemark.operators.statistics import benjamini_hochberg, difference, hac_means, shrink, tau_squared
 
 
@@ -16,8 +17,14 @@ def tier(n: str = "n_events_valid") -> Column:
 
 
 def by_date(events: DataFrame, keys: Sequence[str], value: str = "abnormal_ret") -> DataFrame:
-    """Mean of the valid values of each cell and session: (keys, horizon, date, pos, value)."""
-    return events.where("valid").groupBy(*keys, "horizon", "date", "pos").agg(F.avg(value).alias(value))
+    """Mean of the valid values of each cell and session: (keys, horizon, date, pos, value).
+
+    Summed in order of size: cells of the same values have the same mean however their rows arrive, so
+    that the difference of two such cells is zero, not a rounding error that is then tested.
+    """
+    ordered = F.sort_array(F.collect_list(value))  # of one cell and session: bounded by the tickers
+    mean = ratio(F.aggregate(ordered, F.lit(0.0), lambda total, x: total + x), F.count(value))
+    return events.where("valid").groupBy(*keys, "horizon", "date", "pos").agg(mean.alias(value))
 
 
 def describe(events: DataFrame, keys: Sequence[str], horizons: Sequence[int] = OUTCOME_HORIZONS, hac: bool = True) -> DataFrame:
